@@ -99,7 +99,7 @@ def fit(rows: list[tuple[int, np.ndarray]], grades: int, *, bits: int, epochs: i
     for epoch in range(epochs):
         for step, i in enumerate(rng.permutation(len(rows))):
             g, at = rows[i]
-            w, x = np.maximum(ftrl.weights(at), 0), value[at]  # none may speak for a lower grade: long texts would add them up
+            w, x = ftrl.weights(at), value[at]
             theta = first + np.concatenate([[0], np.cumsum(np.exp(gap))])
             f = _sigmoid(np.concatenate([[-np.inf], theta, [np.inf]]) - w @ x)
             lo, hi = f[g], f[g + 1]
@@ -114,7 +114,7 @@ def fit(rows: list[tuple[int, np.ndarray]], grades: int, *, bits: int, epochs: i
             rate = 0.05 / (1 + epoch)
             first += rate * np.clip(d_theta.sum(), -1, 1)
             gap += rate * np.clip(np.exp(gap) * np.cumsum(d_theta[::-1])[::-1][1:], -1, 1)
-    w = np.maximum(ftrl.weights(), 0) * value
+    w = ftrl.weights() * value
     theta = first + np.concatenate([[0], np.cumsum(np.exp(gap))])
     p = _sigmoid(np.array([w[at].sum() for _, at in rows]) - theta[0])
     limits = np.unique(np.clip(np.quantile(p[y > 0], np.linspace(0, 0.2, 41)), 0.05, 0.5))
