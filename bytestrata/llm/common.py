@@ -89,4 +89,4 @@ def numbered(df: DataFrame, pid: str, idx: str, by: str, out: str) -> DataFrame:
 
 def words_sql(text: str) -> str:
     """SQL for the words ``[^\\x20\\x09-\\x0D]+`` of a text, none where it is null."""
-    return rf"""array_remove(split(translate(coalesce({text}, ''), '\t\n\u000b\f\r', '     '), ' '), '')"""
+    return rf"""array_remove(split(translate(coalesce({text}, ''), '\t\n\u000b\u000c\r', '     '), ' '), '')"""

@@ -25,8 +25,7 @@ def _lines(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     out = docs.select(F.xxhash64(text).alias("k1"), F.crc32(F.concat(F.lit("k"), text)).alias("k2"), "site", F.posexplode(F.split(text, "\n")).alias("i", "line"))
     words = F.size(F.array_remove(F.split(F.translate("line", "\t\x0b\x0c\r", "    "), " "), ""))
-    out = out.select("k1", "k2", "site", "i", F.xxhash64(F.col("line")).alias("h"), words.alias("w"))
-    return out.where("w > 0")
+    return out.where(F.translate("line", " \t\x0b\x0c\r", "") != "").select("k1", "k2", "site", "i", F.xxhash64(F.col("line")).alias("h"), words.alias("w"))
 
 
 def boilerplate(lines: DataFrame, min_sites: int) -> DataFrame:
@@ -65,7 +64,7 @@ def strip_boilerplate(docs: DataFrame, *, site: str = "source", min_sites: int =
     go = F.col("at").isNotNull() & (F.col("removed_words") <= (1 - own_share) * words)
     out = out.select("row", "at", go.alias("go"), text.alias("t"))
     kept = F.expr(r"array_join(transform(filter(transform(split(t, '\n'), (l, i) -> struct(l, i)), x -> not array_contains(at, x.i)), x -> x.l), '\n')")
-    blank = F.expr(r"size(filter(split(coalesce(t, ''), '\n'), l -> translate(l, ' \t\u000b\f\r', '') <> ''))")
+    blank = F.expr(r"size(filter(split(coalesce(t, ''), '\n'), l -> translate(l, ' \t\u000b\u000c\r', '') <> ''))")
     return out.select("row", F.when(F.col("go"), kept).otherwise(F.col("t")).alias("text"), blank.cast("long").alias("n_lines"), F.when(F.col("go"), F.size("at")).otherwise(0).cast("long").alias("n_removed"))
 
 

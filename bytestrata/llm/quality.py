@@ -31,34 +31,38 @@ BINS, PER_E = 160, 12  # bins of log distance, and bins for each factor of e
 def repeated_words(words: str, window: int = 8) -> str:
     """SQL for the number of words in ``window``-word windows found twice or more.
 
-    Window hashes are compared in a hash set first; only texts where some repeat sort them
-    with their places, so the cost is n log n for any text.
+    Words are hashed once, windows from those hashes, and compared in a hash set first; only
+    texts where some repeat sort them with their places, so the cost is n log n for any text.
     """
     n = f"size({words})"
-    hashes = f"transform(sequence(0, {n} - {window}), i -> xxhash64(slice({words}, i + 1, {window})))"
+    each = ", ".join(f"get(v, i + {j})" for j in range(window))
+    hashes = f"transform(array(transform({words}, w -> xxhash64(w))), v -> transform(sequence(0, {n} - {window}), i -> xxhash64({each})))[0]"
     places = f"""transform(array(array_sort(transform(w, (h, i) -> struct(h, i)))), s ->
         array_sort(transform(filter(s, (x, i) -> x.h <=> get(s, i - 1).h or x.h <=> get(s, i + 1).h), x -> x.i)))[0]"""
     covered = f"transform(array({places}), p -> aggregate(transform(p, (x, i) -> least({window}, coalesce(get(p, i + 1), x + {window}) - x)), 0, (a, x) -> a + x))[0]"
     return f"if({n} <= {window}, 0, transform(array({hashes}), w -> if(size(array_distinct(w)) = size(w), 0, {covered}))[0])"
 
 
-def statistics(docs: DataFrame, text: str = "text") -> list[Column]:
-    """Columns ``n_words`` ... ``n_repeat_words`` (long) from the word array in ``_words``."""
+def statistics(text: str) -> str:
+    """SQL for a struct of ``STATS`` (long). The word array is bound once for all of them."""
     t = f"coalesce({text}, '')"
-    return [
-        F.expr("cast(size(_words) as long)").alias("n_words"),
-        F.expr(rf"cast(char_length(translate({t}, ' \t\n\u000b\f\r', '')) as long)").alias("word_chars"),
-        F.expr(f"cast(char_length({t}) - char_length(translate({t}, '#*$%&|<>', '')) as long)").alias("n_symbols"),
-        F.expr(rf"transform(array(filter(split({t}, '\n'), l -> translate(l, ' \t\u000b\f\r', '') <> '')), l -> cast(size(l) - size(array_distinct(l)) as long))[0]").alias("n_dup_lines"),
-        F.expr(f"cast({repeated_words('_words')} as long)").alias("n_repeat_words"),
-    ]
+    return rf"""transform(array({words_sql(text)}), w0 -> named_struct(
+        'n_words', cast(size(w0) as long),
+        'word_chars', cast(char_length(translate({t}, ' \t\n\u000b\u000c\r', '')) as long),
+        'n_symbols', cast(char_length({t}) - char_length(translate({t}, '#*$%&|<>', '')) as long),
+        'n_dup_lines', transform(array(filter(split({t}, '\n'), l -> translate(l, ' \t\u000b\u000c\r', '') <> '')), l -> cast(size(l) - size(array_distinct(l)) as long))[0],
+        'n_repeat_words', cast({repeated_words('w0')} as long)))"""
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """``row`` (all columns of ``docs``), its group and its statistics."""
+    """``row`` (all columns of ``docs``), its group and its statistics.
+
+    They come out of a generator of one row, through which no later filter is pushed, so
+    they are computed once.
+    """
     out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    out = out.select("row", F.col("row.lang").cast("string").alias("lang"), F.col("row.source").cast("string").alias("source"), F.expr(words_sql("row.text")).alias("_words"))
-    out = out.select("row", "lang", "source", *statistics(out, "row.text"))
+    out = out.select("row", F.col("row.lang").cast("string").alias("lang"), F.col("row.source").cast("string").alias("source"), F.explode(F.expr(statistics("row.text"))).alias("s"))
+    out = out.select("row", "lang", "source", *[f"s.{c}" for c in STATS])
     return out.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
 
 

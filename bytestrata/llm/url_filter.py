@@ -88,7 +88,8 @@ def url_filter(pages: DataFrame, labels: DataFrame, *, rules=RULES, least_purity
     Needs ``page_id``, ``url`` of ``pages`` and ``doc_id``, ``quality``, ``toxic`` of ``labels``; other
     columns are ignored. A page's label is that of the document whose id is the first whole
     number among its path's segments; it is good with quality above 0 and not toxic. Purity is
-    smoothed towards the share over all pages with the weight of ``prior`` pages.
+    smoothed towards the share over all pages with the weight of ``prior`` pages; a template
+    without a labelled page has none and allows.
 
     Null url or url without ``://``: empty host and path, template of the root. Null page_id:
     judged like any other. Null or missing labels: not counted; several for a document: the
@@ -106,7 +107,7 @@ def url_filter(pages: DataFrame, labels: DataFrame, *, rules=RULES, least_purity
     templates = cut(base.groupBy("host", "segs").agg(F.count("*").alias("pages")).join(known, ["host", "segs"], "left").na.fill(0, ["labelled", "good"]))
     total = templates.agg(F.sum("labelled"), F.sum("good")).first()
     share = total[1] / total[0] if total[0] else 1.0
-    purity = (F.col("t_good") + prior * share) / (F.col("t_labelled") + prior)
+    purity = F.when(F.col("t_labelled") > 0, (F.col("t_good") + prior * share) / (F.col("t_labelled") + prior))
     tree = template_tree(templates, **options).select("host", "segs", "template", purity.alias("purity"))
     out = base.join(tree, ["host", "segs"], "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("fixed", F.when(F.coalesce("purity", F.lit(1.0)) >= least_purity, F.lit("allow")).otherwise(F.lit("block"))).alias("verdict"), "template", F.round("purity", 6).alias("purity"))
