@@ -154,20 +154,19 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, row
     rows_in = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     sketched = written(rows_in.select(F.monotonically_increasing_id().alias("rid"), "row", sketch_udf(shingle, rows, bands)(F.col("row.text").cast("binary")).alias("s")))
     nodes = sketched.select("rid", F.col("row.doc_id").alias("doc_id"), F.col("s.n").alias("n"), F.col("s.cls").alias("cls"))
-    classes = nodes.where("cls is not null").groupBy("cls").agg(F.min("rid").alias("rid"))
-    heads = cut(sketched.select("rid", F.col("s.n").alias("n"), F.col("s.bands").alias("bands")).join(classes, "rid"))
-    member = heads.select("cls", "n", F.posexplode("bands").alias("band", "bucket"))
-    centre = F.min(F.struct(F.xxhash64("cls", F.pmod("band", F.lit(CENTRES))).alias("h"), "cls", "n")).alias("c0")  # few centres for a group, whatever its bands
-    shared = member.groupBy("bucket").agg(F.count("*").alias("m"), centre).where("m > 1")
-    member = cut(member.select("cls", "n", "bucket").join(shared.select("bucket", "c0"), "bucket"))
+    classes = cut(nodes.where("cls is not null").groupBy("cls").agg(F.min("rid").alias("head")))  # a class is known by its first row
+    heads = sketched.select("rid", F.col("s.n").alias("n"), F.col("s.bands").alias("bands")).join(classes.select(F.col("head").alias("rid")), "rid", "left_semi")
+    member = heads.select(F.col("rid").alias("cls"), F.col("n").cast("int").alias("n"), F.explode("bands").alias("bucket"))
+    shared = member.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket")
+    member = cut(member.join(shared, "bucket"))
+    texts = sketched.select("rid", F.col("row.text").cast("binary").alias("text")).join(member.select(F.col("cls").alias("rid")).distinct(), "rid", "left_semi")
+    texts = written(texts.select(F.col("rid").alias("cls"), "text"))
+    # few centres for a group, chosen by the bucket's rest
+    centre = F.min(F.struct(F.xxhash64("cls", F.pmod("bucket", F.lit(CENTRES))).alias("h"), "cls", "n")).alias("c0")
+    first = member.join(member.groupBy("bucket").agg(centre), "bucket")
     close = lambda x, y: (F.lit(100) * F.least(x, y)) >= (F.lit(percent) * F.greatest(x, y))
-    pairs = member.where((F.col("cls") != F.col("c0.cls")) & close("n", "c0.n")).select(*_pair("cls", "c0.cls")).distinct()
-    text_of = lambda pairs: (
-        sketched.select("rid", F.col("row.text").cast("binary").alias("text"))
-        .join(heads.select("rid", "cls").join(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "cls", "left_semi"), "rid")
-        .select("cls", "text")
-    )
-    links = [cut(_verified(p := cut(pairs), text_of(p), shingle, percent))]
+    pairs = first.where((F.col("cls") != F.col("c0.cls")) & close("n", "c0.n")).select(*_pair("cls", "c0.cls")).distinct()
+    links = [cut(_verified(p := cut(pairs), texts, shingle, percent))]
     tried = [p]
     for k in range(1, 12):
         root = cut(components(reduce(DataFrame.unionByName, links)))
@@ -190,11 +189,12 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, row
             pairs = at.where((F.col("comp") != F.col("centre.comp")) & close("n", "centre.n")).select(*_pair("cls", "centre.cls"))
         pairs = cut(pairs.distinct().join(reduce(DataFrame.unionByName, tried), ["a", "b"], "left_anti"))
         tried.append(pairs)
-        links.append(cut(_verified(pairs, text_of(pairs), shingle, percent)))
+        links.append(cut(_verified(pairs, texts, shingle, percent)))
         if last:
             break
     root = components(reduce(DataFrame.unionByName, links))
-    nodes = nodes.join(root.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("root", "cls"))
+    top = classes.join(root.withColumnRenamed("node", "head"), "head", "left").select("cls", F.coalesce("root", "head").alias("comp"))
+    nodes = nodes.join(top, "cls", "left")
     head = cut(nodes.where("comp is not null").groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("head")))
     state = nodes.join(head, "comp", "left").select(
         "rid", "n", F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("component_id"), (F.col("comp").isNull() | (F.col("head.rid") == F.col("rid"))).alias("first")
