@@ -27,7 +27,7 @@ from .common import cut, written
 from .components import components
 
 ROWS, BANDS, CENTRES = 6, 48, 4
-SKETCH = T.StructType([T.StructField("n", T.LongType()), T.StructField("cls", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+SKETCH = T.StructType([T.StructField("n", T.LongType()), T.StructField("cls", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("bits", T.ArrayType(T.LongType()))])
 _U = np.uint64
 
 
@@ -69,36 +69,53 @@ def shingle_set(text: bytes, n: int) -> set:
 
 
 def signer(rows: int, bands: int, seed: int = 42):
-    """A function from shingle hashes to the ``bands`` keys of their min-max signature."""
+    """A function from shingle hashes to the ``bands`` keys of their min-max signature and
+    the last two bits of each of its values, as two planes of packed longs."""
     rng = np.random.default_rng(seed)
     p = -(-rows * bands // 2)
     xor, mul = rng.integers(0, 2**63, p, np.uint64), rng.integers(0, 2**62, p, np.uint64) * _U(2) + _U(1)
     weight, salt = rng.integers(0, 2**62, rows, np.uint64) * _U(2) + _U(1), rng.integers(0, 2**63, bands, np.uint64)
 
-    def sign(u: np.ndarray) -> np.ndarray:
+    def sign(u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         low, high = np.full(p, 2**64 - 1, np.uint64), np.zeros(p, np.uint64)
         for at in range(0, len(u), 2048):  # memory stays bounded for any length
             h = (u[at : at + 2048, None] ^ xor) * mul
             low, high = np.minimum(low, h.min(0)), np.maximum(high, h.max(0))
-        values = mix(np.concatenate([low, ~high]))[: rows * bands].reshape(rows, bands)  # min and max of a permutation meet in different bands
-        return mix((values * weight[:, None]).sum(0, dtype=np.uint64) + salt).view(np.int64)
+        flat = mix(np.concatenate([low, ~high]))[: rows * bands]
+        values = flat.reshape(rows, bands)  # min and max of a permutation meet in different bands
+        planes = np.zeros((2, -(-len(flat) // 64) * 64), np.uint8)
+        planes[0, : len(flat)], planes[1, : len(flat)] = flat & _U(1), (flat >> _U(1)) & _U(1)
+        keys = mix((values * weight[:, None]).sum(0, dtype=np.uint64) + salt).view(np.int64)
+        return keys, np.packbits(planes.ravel(), bitorder="little").view(np.int64)
 
     return sign
 
 
+def most_differing(values: int, percent: int) -> int:
+    """How many of a signature's two-bit values may differ between linked sets: five standard
+    deviations above the mean at the least similarity, so 3 links in ten million exceed it."""
+    p = 0.75 * (1 - percent / 100)
+    return int(values * p + 5 * (values * p * (1 - p)) ** 0.5) + 1
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays) if arrays else np.empty(0, np.int64), pa.int64()))
+
+
 def sketch_udf(n: int, rows: int, bands: int):
     @F.arrow_udf(SKETCH)
     def sketch(texts: pa.Array) -> pa.Array:
         memo, sign = _Words(), signer(rows, bands)
-        sizes, keys, out = [], [], []
+        sizes, keys, out, bits = [], [], [], []
         for t in texts:
             u = shingle_hashes(t.as_py() or b"", n, memo)
             sizes.append(len(u))
             keys.append(blake2b(u.tobytes(), digest_size=16).digest() if len(u) else None)
-            out.append(sign(u) if len(u) else np.empty(0, np.int64))
-        offsets = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
-        flat = np.concatenate(out) if out else np.empty(0, np.int64)
-        return pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int64()))], ["n", "cls", "bands"])
+            x, y = sign(u) if len(u) else (np.empty(0, np.int64), np.empty(0, np.int64))
+            out.append(x)
+            bits.append(y)
+        return pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), _lists(out), _lists(bits)], ["n", "cls", "bands", "bits"])
 
     return sketch
 
@@ -131,7 +148,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
     return pairs.join(a, "a").join(b, "b").where(verify_udf(n, percent)("ta", "tb")).select("a", "b")
 
 
-def _pair(x: str, y: str) -> list:
+def _pair(x: str, y: str, or_x: str | None = None, or_y: str | None = None) -> list:
+    x, y = F.coalesce(x, or_x or x), F.coalesce(y, or_y or y)
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
@@ -155,44 +173,59 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, row
     sketched = written(rows_in.select(F.monotonically_increasing_id().alias("rid"), "row", sketch_udf(shingle, rows, bands)(F.col("row.text").cast("binary")).alias("s")))
     nodes = sketched.select("rid", F.col("row.doc_id").alias("doc_id"), F.col("s.n").alias("n"), F.col("s.cls").alias("cls"))
     classes = cut(nodes.where("cls is not null").groupBy("cls").agg(F.min("rid").alias("head")))  # a class is known by its first row
-    heads = sketched.select("rid", F.col("s.n").alias("n"), F.col("s.bands").alias("bands")).join(classes.select(F.col("head").alias("rid")), "rid", "left_semi")
-    member = heads.select(F.col("rid").alias("cls"), F.col("n").cast("int").alias("n"), F.explode("bands").alias("bucket"))
+    heads = sketched.select("rid", F.col("s.n").cast("int").alias("n"), F.col("s.bands").alias("bands"), F.col("s.bits").alias("bits"))
+    heads = heads.join(classes.select(F.col("head").alias("rid")), "rid", "left_semi").withColumnRenamed("rid", "cls")
+    member = heads.select("cls", F.explode("bands").alias("bucket"))
     shared = member.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket")
-    member = cut(member.join(shared, "bucket"))
+    member = cut(member.join(shared, "bucket").join(heads.select("cls", "n", "bits"), "cls"))
     texts = sketched.select("rid", F.col("row.text").cast("binary").alias("text")).join(member.select(F.col("cls").alias("rid")).distinct(), "rid", "left_semi")
     texts = written(texts.select(F.col("rid").alias("cls"), "text"))
-    # few centres for a group, chosen by the bucket's rest
-    centre = F.min(F.struct(F.xxhash64("cls", F.pmod("bucket", F.lit(CENTRES))).alias("h"), "cls", "n")).alias("c0")
-    first = member.join(member.groupBy("bucket").agg(centre), "bucket")
-    close = lambda x, y: (F.lit(100) * F.least(x, y)) >= (F.lit(percent) * F.greatest(x, y))
-    pairs = first.where((F.col("cls") != F.col("c0.cls")) & close("n", "c0.n")).select(*_pair("cls", "c0.cls")).distinct()
-    links = [cut(_verified(p := cut(pairs), texts, shingle, percent))]
-    tried = [p]
-    for k in range(1, 12):
-        root = cut(components(reduce(DataFrame.unionByName, links)))
-        at = member.join(root.withColumnRenamed("node", "cls"), "cls", "left").select("bucket", "cls", "n", F.coalesce("root", "cls").alias("comp"))
-        sizes = at.groupBy("bucket", "comp").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64("cls", F.lit(k)).alias("h"), "cls", "n")).alias("head"))
-        mixed = cut(
-            sizes.groupBy("bucket")
-            .agg(F.count("*").alias("comps"), F.sum("m").alias("all"), F.max(F.struct("m", "comp")).alias("most"), F.sum(F.col("m") * F.col("m")).alias("inner"), F.min(F.struct("head.h", "comp", "head.cls", "head.n")).alias("centre"))
-            .where("comps > 1")
-        )
-        left, open_pairs = mixed.agg(F.sum("all"), F.sum((F.col("all") * F.col("all") - F.col("inner")) / 2)).first()
-        if not left:
-            break
-        at = at.join(mixed, "bucket")
-        last = open_pairs <= 40 * left or k == 11
-        if last:  # few enough: every pair in a bucket that the links do not join yet, from its smaller components
-            few = at.where(F.col("comp") != F.col("most.comp")).select("bucket", F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"))
-            pairs = few.join(at.select("bucket", "cls", "n", "comp"), "bucket").where((F.col("comp") != F.col("cx")) & close("n", "nx")).select(*_pair("x", "cls"))
-        else:  # another centre
-            pairs = at.where((F.col("comp") != F.col("centre.comp")) & close("n", "centre.n")).select(*_pair("cls", "centre.cls"))
-        pairs = cut(pairs.distinct().join(reduce(DataFrame.unionByName, tried), ["a", "b"], "left_anti"))
-        tried.append(pairs)
-        links.append(cut(_verified(pairs, texts, shingle, percent)))
-        if last:
+    limit, half = most_differing(rows * bands, percent), -(-rows * bands // 64)
+
+    def close(x: str, y: str):
+        """Sizes and signatures that a link may have."""
+        differ = sum((F.bit_count(F.get(f"{x}.bits", F.lit(i)).bitwiseXOR(F.get(f"{y}.bits", F.lit(i))).bitwiseOR(F.get(f"{x}.bits", F.lit(i + half)).bitwiseXOR(F.get(f"{y}.bits", F.lit(i + half))))) for i in range(half)), F.lit(0))
+        return (100 * F.least(f"{x}.n", f"{y}.n") >= percent * F.greatest(f"{x}.n", f"{y}.n")) & (differ <= limit)
+
+    root = None  # class to its component so far; classes without a link are not in it
+    tried = None
+    for k in range(8):
+        one = F.struct("cls", "n", "bits")
+        if root is None:
+            at = member.select("bucket", one.alias("x"), F.col("cls").alias("comp"))
+        else:
+            at = member.join(root.withColumnRenamed("node", "cls"), "cls", "left").select("bucket", one.alias("x"), F.coalesce("root", "cls").alias("comp"))
+        # few centres for a group, whatever its bands: chosen by hash with what is left of the bucket
+        by = F.struct(F.xxhash64("x.cls", F.lit(k), F.pmod("bucket", F.lit(CENTRES))).alias("h"), "x", "comp")
+        sizes = at.groupBy("bucket", "comp").agg(F.count("*").alias("m"), F.min(by).alias("head"))
+        mixed = sizes.groupBy("bucket").agg(F.count("*").alias("comps"), F.max(F.struct("m", "comp")).alias("most"), F.min("head").alias("c")).where("comps > 1")
+        at = at.join(mixed.select("bucket", F.col("most.comp").alias("most"), "c"), "bucket")
+        last = k == 7 or (k > 0 and found < CENTRES * 250 + before // 20)
+        if last:  # every pair in a bucket that the links do not join yet, from its smaller components
+            few = at.where(F.col("comp") != F.col("most")).select("bucket", F.col("x").alias("y"), F.col("comp").alias("cy"))
+            pairs = few.join(at.select("bucket", "x", "comp"), "bucket").where((F.col("comp") != F.col("cy")) & close("x", "y")).select(*_pair("x.cls", "y.cls"))
+        else:  # those with a centre
+            pairs = at.where((F.col("comp") != F.col("c.comp")) & close("x", "c.x")).select(*_pair("x.cls", "c.x.cls"))
+        pairs = pairs.distinct()
+        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        links = cut(_verified(pairs, texts, shingle, percent))
+        if root is not None:  # of these, only what joins two components matters
+            known = root.withColumnRenamed("node", "a").withColumnRenamed("root", "ra")
+            links = links.join(known, "a", "left").join(known.select(F.col("a").alias("b"), F.col("ra").alias("rb")), "b", "left")
+            links = links.select(*_pair("ra", "rb", "a", "b"))
+        found, before = links.count(), found if k else 0
+        if found:
+            new = components(links)
+            if root is None:
+                root = cut(new)
+            else:
+                moved = new.select(F.col("node").alias("root"), F.col("root").alias("up"))
+                old = root.join(moved, "root", "left").select("node", F.coalesce("up", "root").alias("root"))
+                root = cut(old.unionByName(new.join(root.select("node"), "node", "left_anti")))
+        if last or (root is None):
             break
-    root = components(reduce(DataFrame.unionByName, links))
+    root = root if root is not None else classes.select(F.col("head").alias("node"), F.col("head").alias("root"))
     top = classes.join(root.withColumnRenamed("node", "head"), "head", "left").select("cls", F.coalesce("root", "head").alias("comp"))
     nodes = nodes.join(top, "cls", "left")
     head = cut(nodes.where("comp is not null").groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("head")))

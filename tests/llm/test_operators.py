@@ -144,7 +144,8 @@ def test_minmax_signature_estimates_similarity():
     sign = near_dedup.signer(1, 400)
     rng = np.random.default_rng(0)
     x = rng.integers(0, 2**63, 1000, np.uint64)
-    a, b = sign(x[:900]), sign(x[100:])
+    (a, p), (b, q) = sign(x[:900]), sign(x[100:])
+    assert sum(bin(int(i) & (2**64 - 1)).count('1') for i in (p[:7] ^ q[:7]) | (p[7:] ^ q[7:])) <= near_dedup.most_differing(400, 80)
     assert abs((a == b).mean() - 0.8) < 0.08
 
 
