@@ -6,20 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def merkle_root(leaves: DataFrame, key: str, rounds: int = 40) -> DataFrame:
+def merkle_root(leaves: DataFrame, key: str) -> DataFrame:
     """``key``, ``root`` (hex) of leaves ``pos`` (from 0) and ``hash`` (hex). An odd level repeats its
-    last node, and a single leaf is hashed with itself."""
-    now = leaves.select(key, "pos", "hash")
-    first = True
-    for _ in range(rounds):
-        n = now.groupBy(key).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-        if n <= 1 and not first:
-            break
-        size = now.groupBy(key).agg(F.count("*").alias("n"))
-        pairs = now.join(size, key).groupBy(key, "n", F.expr("pos div 2").alias("pos")).agg(F.min_by("hash", "pos").alias("l"), F.max_by("hash", "pos").alias("r"))
+    last node, and a single leaf is hashed with itself. As many rounds as the largest tree is high."""
+    size = leaves.groupBy(key).agg(F.count("*").alias("n"))
+    most = size.agg(F.max("n")).first()[0] or 0
+    now = leaves.join(size, key).select(key, "n", "pos", "hash")
+    for level in range(max(1, (most - 1).bit_length())):
+        pairs = now.groupBy(key, "n", F.expr("pos div 2").alias("pos")).agg(F.min_by("hash", "pos").alias("l"), F.max_by("hash", "pos").alias("r"))
         parent = F.sha2(F.concat(F.unhex("l"), F.unhex("r")), 256)
-        now = pairs.select(key, "pos", (parent if first else F.when(F.col("n") == 1, F.col("l")).otherwise(parent)).alias("hash"))
-        first = False
+        now = pairs.select(key, ((F.col("n") + 1) / 2).cast("long").alias("n"), "pos", (parent if not level else F.when(F.col("n") == 1, F.col("l")).otherwise(parent)).alias("hash"))
     return now.select(key, F.col("hash").alias("root"))
 
 

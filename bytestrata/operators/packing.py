@@ -34,7 +34,7 @@ def route(chunks: DataFrame, books, options: PackOptions = PackOptions()) -> Dat
     ship(chunks.sparkSession)
     o = options
     distinct = chunks.select("data").distinct()
-    known = distinct.withColumn("entropy", arrow.shannon_entropy("data")).withColumn("seed", F.when(F.col("entropy") <= 3.0, arrow.find_polynomial("data")))
+    known = distinct.withColumn("entropy", arrow.shannon_entropy("data")).withColumn("seed", arrow.find_polynomial(F.when(F.col("entropy") <= 3.0, F.col("data"))))
     known = search.nearest_codeword(known, books, o.method).select("data", "entropy", "seed", "match.*")
     book = None
     for k, b in enumerate(books if isinstance(books, list) else [books]):
@@ -51,10 +51,10 @@ def route(chunks: DataFrame, books, options: PackOptions = PackOptions()) -> Dat
             literal = literal | (F.col("entropy") > o.literal_entropy) | noisy | (F.col("similarity") < o.least_similarity)
         fractal = F.col("seed").isNotNull() if o.mode in ("archive", "edge") else F.lit(False)
     known = known.withColumn("encoding", F.when(fractal, "fractal").when(literal, "literal").otherwise("xor"))
-    known = known.withColumn("x", F.when(F.col("encoding") == "xor", arrow.xor_bytes("data", "pattern")))
+    known = known.withColumn("x", arrow.xor_bytes(F.when(F.col("encoding") == "xor", F.col("data")), F.col("pattern")))  # a null argument costs no work, a WHEN around the call would
     if o.mode == "archive":
         close = F.col("similarity") >= F.when(F.col("entropy") > 6, o.patch_noise).otherwise(o.patch_similarity)
-        known = known.withColumn("p", F.when((F.col("encoding") == "xor") & close, arrow.diff_bytes("data", "pattern")))
+        known = known.withColumn("p", arrow.diff_bytes(F.when((F.col("encoding") == "xor") & close, F.col("data")), F.col("pattern")))
         patched = F.col("p").isNotNull() & (F.octet_length("p") < F.octet_length("x")) & (F.octet_length("p") <= 256)
         known = known.withColumn("encoding", F.when(patched, "patch").otherwise(F.col("encoding")))
     else:
@@ -93,14 +93,14 @@ def decode(entries: DataFrame, books, jitter: int = 0, seed: int = 0) -> DataFra
         moved = F.when(F.col("_n").isNotNull(), F.greatest(F.lit(0), F.least(F.col("_n") - 1, F.col("codebook_id") + shift))).otherwise(moved)
     out = entries.withColumn("_id", F.when(F.col("encoding").isin("xor", "patch"), moved)).join(book, ["codebook_index", "_id"], "left")
     plain = F.when(F.col("encoding") == "literal", F.col("residual")).when(F.col("encoding") == "fractal", F.unhex(native.polynomial(F.col("codebook_id"), F.col("size"))))
-    plain = plain.when(F.col("encoding") == "patch", arrow.patch_bytes("pattern", "residual"))
+    plain = plain.when(F.col("encoding") == "patch", arrow.patch_bytes(F.when(F.col("encoding") == "patch", F.col("pattern")), F.col("residual")))
     plain = plain.when(F.col("delta_size") == 0, F.substring("pattern", F.lit(1), F.col("size"))).otherwise(arrow.xor_bytes("residual", "pattern"))
     return out.withColumn("decoded", plain).drop("_id", "pattern", *(["_n"] if jitter else []))
 
 
 def metrics(entries: DataFrame, *by: str) -> DataFrame:
     """Counts by encoding, sizes, mean similarity and the three hit rates."""
-    kind = lambda k: F.sum((F.col("encoding") == k).cast("long")).alias(f"{k}s")
+    kind = lambda k: F.sum((F.col("encoding") == k).cast("long")).alias("patches" if k == "patch" else f"{k}s")
     matched = F.col("encoding").isin("xor", "patch")
     rate = lambda c, name: F.round(F.avg(c.cast("double")), 6).alias(name)
     return entries.groupBy(*by).agg(
