@@ -12,7 +12,7 @@ a copy, not framed content; it stays whole, for near-duplicate removal to decide
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -20,18 +20,30 @@ from .common import cut
 LG_K, NEAR = 12, 0.2
 
 
+#: So many boilerplate hashes (8 bytes each) are broadcast; more are joined by a shuffle.
+MOST_BROADCAST = 200_000
+
+
+def _words(line) -> Column:
+    return F.size(F.array_remove(F.split(F.translate(line, "\t\x0b\x0c\r", "    "), " "), ""))
+
+
+def _keys(text: Column) -> list[Column]:
+    """128 bits that stand for a text."""
+    return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")]
+
+
 def _lines(docs: DataFrame) -> DataFrame:
-    """A row for each line with a word: text key (``k1``, ``k2``), ``site``, ``i``, ``h``, ``w`` (words)."""
+    """A row for each line with a word: text key (``k1``, ``k2``), ``site``, ``i``, ``line``, ``h``."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    out = docs.select(F.xxhash64(text).alias("k1"), F.crc32(F.concat(F.lit("k"), text)).alias("k2"), "site", F.posexplode(F.split(text, "\n")).alias("i", "line"))
-    words = F.size(F.array_remove(F.split(F.translate("line", "\t\x0b\x0c\r", "    "), " "), ""))
-    return out.where(F.translate("line", " \t\x0b\x0c\r", "") != "").select("k1", "k2", "site", "i", F.xxhash64(F.col("line")).alias("h"), words.alias("w"))
+    out = docs.select(*_keys(text), "site", F.posexplode(F.split(text, "\n")).alias("i", "line"))
+    return out.where(F.translate("line", " \t\x0b\x0c\r", "") != "").withColumn("h", F.xxhash64("line"))
 
 
 def boilerplate(lines: DataFrame, min_sites: int) -> DataFrame:
     """The hashes ``h`` of lines that occur on at least ``min_sites`` sites."""
     often = cut(
-        lines.groupBy("h").agg(F.count("site").alias("n"), F.min("site").alias("a"), F.max("site").alias("b"))
+        lines.select("h", F.when(F.col("site").isNotNull(), F.xxhash64("site")).alias("s")).groupBy("h").agg(F.count("s").alias("n"), F.min("s").alias("a"), F.max("s").alias("b"))
         .where((F.col("n") >= min_sites) & ((F.col("a") < F.col("b")) | F.lit(min_sites <= 1))).select("h")
     )
     sketch = lines.where("site is not null").join(often, "h").groupBy("h").agg(F.hll_sketch_agg("site", LG_K).alias("s"))
@@ -55,11 +67,15 @@ def strip_boilerplate(docs: DataFrame, *, site: str = "source", min_sites: int =
     lines = _lines(rows.select(F.col("row.text").cast("string").alias("text"), F.col(f"row.`{site}`").cast("string").alias("site")))
     wide = cut(boilerplate(lines, min_sites))
     # one row for each text that has such a line; copies of a text collapse before the shuffle
-    hits = lines.join(wide, "h", "left_semi").groupBy("k1", "k2", "i").agg(F.max("w").alias("w"))
+    if wide.count() <= MOST_BROADCAST:
+        hits = lines.join(F.broadcast(wide), "h", "left_semi").select("k1", "k2", "i", _words(F.col("line")).alias("w"))
+    else:
+        hits = lines.select("k1", "k2", "i", "h", _words(F.col("line")).alias("w")).join(wide, "h", "left_semi")
+    hits = hits.groupBy("k1", "k2", "i").agg(F.max("w").alias("w"))
     hits = hits.groupBy("k1", "k2").agg(F.sum("w").alias("removed_words"), F.collect_set("i").alias("at"))
     text = F.col("row.text").cast("string")
     filled = F.coalesce(text, F.lit(""))
-    out = rows.select("row", F.xxhash64(filled).alias("k1"), F.crc32(F.concat(F.lit("k"), filled)).alias("k2")).join(hits, ["k1", "k2"], "left")
+    out = rows.select("row", *_keys(filled)).join(hits, ["k1", "k2"], "left")
     words = F.size(F.array_remove(F.split(F.translate(filled, "\t\n\x0b\x0c\r", "     "), " "), ""))
     go = F.col("at").isNotNull() & (F.col("removed_words") <= (1 - own_share) * words)
     out = out.select("row", "at", go.alias("go"), text.alias("t"))
