@@ -101,11 +101,11 @@ def _greedy_sql(candidates: str, least: int, most: int) -> str:
 bt AS (SELECT object_id, n, i, CAST('0x' || substr(h, 2 * i + 1, 2) AS INTEGER) AS v FROM (SELECT *, unnest(range(n)) AS i FROM o)),
 cand AS ({candidates}),
 walk AS (
-  SELECT object_id, n, CAST(0 AS BIGINT) AS at FROM o
+  SELECT object_id, n, CAST(0 AS BIGINT) AS pos FROM o
   UNION ALL
-  SELECT w.object_id, w.n, CAST(least(w.n, w.at + {most}, coalesce((SELECT min(c.e) FROM cand c WHERE c.object_id = w.object_id AND c.e >= w.at + {least}), w.n)) AS BIGINT) FROM walk w WHERE w.at < w.n)
-SELECT object_id, CAST(row_number() OVER (PARTITION BY object_id ORDER BY at) - 1 AS INTEGER) AS chunk_idx,
-  CAST(at - lag(at) OVER (PARTITION BY object_id ORDER BY at) AS INTEGER) AS size FROM walk QUALIFY lag(at) OVER (PARTITION BY object_id ORDER BY at) IS NOT NULL"""
+  SELECT w.object_id, w.n, CAST(least(w.n, w.pos + {most}, coalesce((SELECT min(c.e) FROM cand c WHERE c.object_id = w.object_id AND c.e >= w.pos + {least}), w.n)) AS BIGINT) FROM walk w WHERE w.pos < w.n)
+SELECT * FROM (SELECT object_id, CAST(row_number() OVER (PARTITION BY object_id ORDER BY pos) - 1 AS INTEGER) AS chunk_idx,
+  CAST(pos - lag(pos) OVER (PARTITION BY object_id ORDER BY pos) AS INTEGER) AS size FROM walk) WHERE size IS NOT NULL"""
 
 
 ROLL = " + ".join(f"coalesce(lag(h, {k}) OVER w, 0) * {1 << k}" for k in range(6))
