@@ -26,7 +26,7 @@ from ..session import ship
 from .common import cut, written
 from .components import components
 
-ROWS, BANDS, CENTRES = 6, 48, 4
+ROWS, BANDS, CENTRES, FINE = 6, 48, 4, 2048
 SKETCH = T.StructType([T.StructField("n", T.LongType()), T.StructField("cls", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("bits", T.ArrayType(T.LongType()))])
 _U = np.uint64
 
@@ -120,6 +120,17 @@ def sketch_udf(n: int, rows: int, bands: int):
     return sketch
 
 
+def fine_udf(n: int):
+    """Bits of a signature of ``FINE`` values, for classes that few cheap tests have told apart."""
+
+    @F.arrow_udf("array<long>")
+    def fine(texts: pa.Array) -> pa.Array:
+        memo, sign = _Words(), signer(FINE, 1, seed=7)
+        return _lists([sign(shingle_hashes(t.as_py(), n, memo))[1] for t in texts])
+
+    return fine
+
+
 def verify_udf(n: int, percent: int):
     @F.arrow_udf("boolean")
     def linked(left: pa.Array, right: pa.Array) -> pa.Array:
@@ -180,12 +191,24 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, row
     member = cut(member.join(shared, "bucket").join(heads.select("cls", "n", "bits"), "cls"))
     texts = sketched.select("rid", F.col("row.text").cast("binary").alias("text")).join(member.select(F.col("cls").alias("rid")).distinct(), "rid", "left_semi")
     texts = written(texts.select(F.col("rid").alias("cls"), "text"))
-    limit, half = most_differing(rows * bands, percent), -(-rows * bands // 64)
+
+    def alike(x: str, y: str, values: int):
+        """Whether so many values of two signatures agree as a link's do; the differing bits are summed in order."""
+        half = -(-values // 64)
+        word = lambda c, i: F.get(c, F.lit(i))
+        differ = (F.bit_count(word(x, i).bitwiseXOR(word(y, i)).bitwiseOR(word(x, i + half).bitwiseXOR(word(y, i + half)))) for i in range(half))
+        return sum(differ, F.lit(0)) <= most_differing(values, percent)
+
+    def long_alike(x: str, y: str, values: int):
+        """The same for long signatures, as array functions: so many words unrolled are too long a method to compile."""
+        half = -(-values // 64)
+        part = lambda k: F.zip_with(F.slice(x, k, half), F.slice(y, k, half), lambda a, b: a.bitwiseXOR(b))
+        differ = F.zip_with(part(1), part(half + 1), lambda a, b: F.bit_count(a.bitwiseOR(b)))
+        return F.aggregate(differ, F.lit(0), lambda t, v: t + v) <= most_differing(values, percent)
 
     def close(x: str, y: str):
         """Sizes and signatures that a link may have."""
-        differ = sum((F.bit_count(F.get(f"{x}.bits", F.lit(i)).bitwiseXOR(F.get(f"{y}.bits", F.lit(i))).bitwiseOR(F.get(f"{x}.bits", F.lit(i + half)).bitwiseXOR(F.get(f"{y}.bits", F.lit(i + half))))) for i in range(half)), F.lit(0))
-        return (100 * F.least(f"{x}.n", f"{y}.n") >= percent * F.greatest(f"{x}.n", f"{y}.n")) & (differ <= limit)
+        return (100 * F.least(f"{x}.n", f"{y}.n") >= percent * F.greatest(f"{x}.n", f"{y}.n")) & alike(f"{x}.bits", f"{y}.bits", rows * bands)
 
     root = None  # class to its component so far; classes without a link are not in it
     tried = None
@@ -202,8 +225,10 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, row
         at = at.join(mixed.select("bucket", F.col("most.comp").alias("most"), "c"), "bucket")
         last = k == 7 or (k > 0 and found < CENTRES * 250 + before // 20)
         if last:  # every pair in a bucket that the links do not join yet, from its smaller components
+            fine = texts.join(at.select(F.col("x.cls").alias("cls")).distinct(), "cls", "left_semi").select(F.col("cls").alias("own"), fine_udf(shingle)("text").alias("fine"))
+            at = at.join(cut(fine), F.col("x.cls") == F.col("own")).select("bucket", "comp", "most", F.struct("x.cls", "x.n", "x.bits", "fine").alias("x"))
             few = at.where(F.col("comp") != F.col("most")).select("bucket", F.col("x").alias("y"), F.col("comp").alias("cy"))
-            pairs = few.join(at.select("bucket", "x", "comp"), "bucket").where((F.col("comp") != F.col("cy")) & close("x", "y")).select(*_pair("x.cls", "y.cls"))
+            pairs = few.join(at.select("bucket", "x", "comp"), "bucket").where((F.col("comp") != F.col("cy")) & close("x", "y") & long_alike("x.fine", "y.fine", FINE)).select(*_pair("x.cls", "y.cls"))
         else:  # those with a centre
             pairs = at.where((F.col("comp") != F.col("c.comp")) & close("x", "c.x")).select(*_pair("x.cls", "c.x.cls"))
         pairs = pairs.distinct()
