@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship
-from .common import cut, written
+from .common import cut, tidy, written
 from .components import components
 
 ROWS, BANDS, CENTRES, FINE = 6, 48, 4, 2048
@@ -226,7 +226,8 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, row
         last = k == 7 or (k > 0 and found < CENTRES * 250 + before // 20)
         if last:  # every pair in a bucket that the links do not join yet, from its smaller components
             fine = texts.join(at.select(F.col("x.cls").alias("cls")).distinct(), "cls", "left_semi").select(F.col("cls").alias("own"), fine_udf(shingle)("text").alias("fine"))
-            at = at.join(cut(fine), F.col("x.cls") == F.col("own")).select("bucket", "comp", "most", F.struct("x.cls", "x.n", "x.bits", "fine").alias("x"))
+            fine = cut(fine)
+            at = at.join(fine, F.col("x.cls") == F.col("own")).select("bucket", "comp", "most", F.struct("x.cls", "x.n", "x.bits", "fine").alias("x"))
             few = at.where(F.col("comp") != F.col("most")).select("bucket", F.col("x").alias("y"), F.col("comp").alias("cy"))
             pairs = few.join(at.select("bucket", "x", "comp"), "bucket").where((F.col("comp") != F.col("cy")) & close("x", "y") & long_alike("x.fine", "y.fine", FINE)).select(*_pair("x.cls", "y.cls"))
         else:  # those with a centre
@@ -240,6 +241,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, row
             links = links.join(known, "a", "left").join(known.select(F.col("a").alias("b"), F.col("ra").alias("rb")), "b", "left")
             links = links.select(*_pair("ra", "rb", "a", "b"))
         found, before = links.count(), found if k else 0
+        tidy(docs.sparkSession)
         if found:
             new = components(links)
             if root is None:
