@@ -98,7 +98,7 @@ def test_pack_round_trip(spark, mode):
 
 
 def test_edge_decodes_to_codewords_and_tiers_keep_their_index(spark):
-    chunks = chunking.fixed(df(spark, b"a9cQefzh" * 50, b"zK3wvu7s" * 50), 8)
+    chunks = chunking.fixed(df(spark, b"a9cQefzh" * 50, bytes(255 - x for x in b"a9cQefzh") * 50), 8)
     books = [codebook.train(chunks.where(f"object_id = {i}"), 8) for i in (0, 1)]
     e = packing.route(chunks, books, packing.PackOptions(mode="edge", chunk_size=8, literal_entropy=9))
     assert all(r.decoded == r.data for r in packing.decode(e, books).collect()) and {r.codebook_index for r in e.collect()} - {None} == {0, 1}
