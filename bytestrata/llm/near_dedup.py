@@ -191,12 +191,13 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, row
     member = cut(member.join(shared, "bucket").join(heads.select("cls", "n", "bits"), "cls"))
     texts = sketched.select("rid", F.col("row.text").cast("binary").alias("text")).join(member.select(F.col("cls").alias("rid")).distinct(), "rid", "left_semi")
     texts = written(texts.select(F.col("rid").alias("cls"), "text"))
+    tidy(docs.sparkSession)
 
-    def alike(x: str, y: str, values: int):
-        """Whether so many values of two signatures agree as a link's do; the differing bits are summed in order."""
-        half = -(-values // 64)
+    def alike(x: str, y: str, values: int, half: int):
+        """Whether so many values of two signatures agree as a link's do; the differing bits are
+        summed in order. half: words of a plane, of which the first are compared."""
         word = lambda c, i: F.get(c, F.lit(i))
-        differ = (F.bit_count(word(x, i).bitwiseXOR(word(y, i)).bitwiseOR(word(x, i + half).bitwiseXOR(word(y, i + half)))) for i in range(half))
+        differ = (F.bit_count(word(x, i).bitwiseXOR(word(y, i)).bitwiseOR(word(x, i + half).bitwiseXOR(word(y, i + half)))) for i in range(-(-values // 64)))
         return sum(differ, F.lit(0)) <= most_differing(values, percent)
 
     def long_alike(x: str, y: str, values: int):
@@ -206,9 +207,9 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, row
         differ = F.zip_with(part(1), part(half + 1), lambda a, b: F.bit_count(a.bitwiseOR(b)))
         return F.aggregate(differ, F.lit(0), lambda t, v: t + v) <= most_differing(values, percent)
 
-    def close(x: str, y: str):
-        """Sizes and signatures that a link may have."""
-        return (100 * F.least(f"{x}.n", f"{y}.n") >= percent * F.greatest(f"{x}.n", f"{y}.n")) & alike(f"{x}.bits", f"{y}.bits", rows * bands)
+    def sized(x: str, y: str):
+        """Sizes that a link may have."""
+        return 100 * F.least(f"{x}.n", f"{y}.n") >= percent * F.greatest(f"{x}.n", f"{y}.n")
 
     root = None  # class to its component so far; classes without a link are not in it
     tried = None
@@ -225,13 +226,17 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, row
         at = at.join(mixed.select("bucket", F.col("most.comp").alias("most"), "c"), "bucket")
         last = k == 7 or (k > 0 and found < CENTRES * 250 + before // 20)
         if last:  # every pair in a bucket that the links do not join yet, from its smaller components
-            fine = texts.join(at.select(F.col("x.cls").alias("cls")).distinct(), "cls", "left_semi").select(F.col("cls").alias("own"), fine_udf(shingle)("text").alias("fine"))
-            fine = cut(fine)
-            at = at.join(fine, F.col("x.cls") == F.col("own")).select("bucket", "comp", "most", F.struct("x.cls", "x.n", "x.bits", "fine").alias("x"))
+            fine = texts.join(at.select(F.col("x.cls").alias("cls")).distinct(), "cls", "left_semi").select("cls", fine_udf(shingle)("text").alias("fine"))
+            fine = cut(fine.join(heads.select("cls", "bands"), "cls").withColumnRenamed("cls", "own"))
+            at = at.join(fine, F.col("x.cls") == F.col("own")).select("bucket", "comp", "most", F.struct("x.cls", "x.n", "bands", "fine").alias("x"))
+            tidy(docs.sparkSession)
             few = at.where(F.col("comp") != F.col("most")).select("bucket", F.col("x").alias("y"), F.col("comp").alias("cy"))
-            pairs = few.join(at.select("bucket", "x", "comp"), "bucket").where((F.col("comp") != F.col("cy")) & close("x", "y") & long_alike("x.fine", "y.fine", FINE)).select(*_pair("x.cls", "y.cls"))
+            # a pair meets in every bucket that both have, and from both sides: it counts in the least of them, from its smaller class
+            once = ((F.col("comp") == F.col("most")) | (F.col("x.cls") < F.col("y.cls"))) & (F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("bucket"))
+            similar = alike("x.fine", "y.fine", 320, FINE // 64) & once & long_alike("x.fine", "y.fine", FINE)
+            pairs = few.join(at, "bucket").where((F.col("comp") != F.col("cy")) & sized("x", "y") & similar).select(*_pair("x.cls", "y.cls"))
         else:  # those with a centre
-            pairs = at.where((F.col("comp") != F.col("c.comp")) & close("x", "c.x")).select(*_pair("x.cls", "c.x.cls"))
+            pairs = at.where((F.col("comp") != F.col("c.comp")) & sized("x", "c.x") & alike("x.bits", "c.x.bits", rows * bands, -(-rows * bands // 64))).select(*_pair("x.cls", "c.x.cls"))
         pairs = pairs.distinct()
         pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         tried = pairs if tried is None else tried.unionByName(pairs)
