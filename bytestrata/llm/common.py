@@ -41,7 +41,7 @@ def cut(df: DataFrame) -> DataFrame:
 _scratch: set[str] = set()
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """``df`` as a Parquet table in the shared folder (unlike a checkpoint, later reads prune
     its columns). The table stays until ``release`` or the end of the process."""
     spark = df.sparkSession
@@ -49,7 +49,7 @@ def written(df: DataFrame) -> DataFrame:
     if not _scratch:
         atexit.register(release, spark)
     _scratch.add(path)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -181,7 +181,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, row
     """
     ship(docs.sparkSession)
     rows_in = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    sketched = written(rows_in.select(F.monotonically_increasing_id().alias("rid"), "row", sketch_udf(shingle, rows, bands)(F.col("row.text").cast("binary")).alias("s")))
+    sketched = written(rows_in.select(F.monotonically_increasing_id().alias("rid"), "row", sketch_udf(shingle, rows, bands)(F.col("row.text").cast("binary")).alias("s")), "zstd")
     nodes = sketched.select("rid", F.col("row.doc_id").alias("doc_id"), F.col("s.n").alias("n"), F.col("s.cls").alias("cls"))
     classes = cut(nodes.where("cls is not null").groupBy("cls").agg(F.min("rid").alias("head")))  # a class is known by its first row
     heads = sketched.select("rid", F.col("s.n").cast("int").alias("n"), F.col("s.bands").alias("bands"), F.col("s.bits").alias("bits"))
@@ -190,7 +190,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, row
     shared = member.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket")
     member = cut(member.join(shared, "bucket").join(heads.select("cls", "n", "bits"), "cls"))
     texts = sketched.select("rid", F.col("row.text").cast("binary").alias("text")).join(member.select(F.col("cls").alias("rid")).distinct(), "rid", "left_semi")
-    texts = written(texts.select(F.col("rid").alias("cls"), "text"))
+    texts = written(texts.select(F.col("rid").alias("cls"), "text"), "zstd")
     tidy(docs.sparkSession)
 
     def alike(x: str, y: str, values: int, half: int):
