@@ -8,7 +8,8 @@ sets with probability equal to their Jaccard similarity. With ``rows`` values a
 
 Equal sets collapse into one class first. In each bucket, classes are compared with a few
 centres, not with each other; what the links found so far do not join is compared in full
-afterwards, so no pairs within a joined group are emitted, and no candidate is dropped.
+afterwards, so no pairs within a joined group are emitted, and no candidate is dropped, also
+where no centre has a link.
 """
 
 from __future__ import annotations
@@ -255,7 +256,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, row
                 moved = new.select(F.col("node").alias("root"), F.col("root").alias("up"))
                 old = root.join(moved, "root", "left").select("node", F.coalesce("up", "root").alias("root"))
                 root = cut(old.unionByName(new.join(root.select("node"), "node", "left_anti")))
-        if last or (root is None):
+        if last:
             break
     root = root if root is not None else classes.select(F.col("head").alias("node"), F.col("head").alias("root"))
     top = classes.join(root.withColumnRenamed("node", "head"), "head", "left").select("cls", F.coalesce("root", "head").alias("comp"))

@@ -138,6 +138,19 @@ def test_near_duplicates_match_brute_force(spark, n):
     assert {r.row.doc_id: (r.n_shingles, r.component_id, r.kept, r.first) for r in out} == {i: (len(sets[i]), find(i), find(i) == i, find(i) == i) for i in ids}
 
 
+def test_links_that_avoid_all_centres(spark):
+    """A hot group of pages at similarity 0.77 whose only link is between two of them."""
+    shared = [f"t{j}" for j in range(80)]
+    docs = [(i, " ".join(shared + [f"p{i}x{j}" for j in range(12)])) for i in range(80)]
+    missed = []
+    for a, b in ((20, 61), (33, 70)):
+        linked = [(i, " ".join(shared + [f"p{a}x{j}" for j in range(7)] + [f"q{j}" for j in range(5)]) if i == b else t) for i, t in docs]
+        df = spark.createDataFrame(linked, "doc_id long, text string").coalesce(1)
+        out = {r.row.doc_id: r.component_id for r in near_dedup.near_duplicates(df, shingle=1, rows=1, bands=16).collect()}
+        missed += [(a, b)] if out != {i: a if i == b else i for i in range(80)} else []
+    assert missed == []
+
+
 def test_minmax_signature_estimates_similarity():
     import numpy as np
 
