@@ -3,8 +3,8 @@
 Paths are split into segments; what is lexically variable (numbers, dates, hex, ids with
 digits) becomes a typed wildcard at once, so pages aggregate to far fewer templates before
 anything meets. From the root down, each host's tree is then generalised level by level:
-segments of a parent with too many children become ``*``, and sibling branches whose labelled
-purity does not differ significantly from what the siblings have in common merge into ``*``.
+sibling branches without enough labelled pages, or whose labelled purity does not differ
+significantly from what the siblings have in common, merge into ``*``.
 A template whose smoothed purity is below the limit blocks its pages. Fixed rules come first.
 """
 
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import cut
 
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
-DEPTH = 8  # segments of the tree; what follows is one wildcard tail
+DEPTH = 8  # from here on, a node with too few labelled pages for any branch gets one wildcard tail
 
 
 def _lower(c: Column) -> Column:
@@ -40,9 +40,9 @@ def rule_of(host: Column, path: Column, rules) -> tuple[Column, Column]:
 
 
 def segments(path: Column) -> Column:
-    """Segments with lexically variable ones as typed wildcards, at most ``DEPTH`` and a tail ``**``."""
+    """Segments with lexically variable ones as typed wildcards."""
     parts = F.filter(F.split(path, "/"), lambda s: s != "")
-    typed = F.transform(
+    return F.transform(
         parts,
         lambda s: F.when(s.rlike(r"^[0-9]+$"), F.lit("<num>"))
         .when(s.rlike(r"^[0-9]{4}-[0-9]{1,2}(-[0-9]{1,2})?$"), F.lit("<date>"))
@@ -50,33 +50,33 @@ def segments(path: Column) -> Column:
         .when(s.rlike(r"[0-9]"), F.regexp_replace(s, r"[0-9]+", "<n>"))
         .otherwise(s),
     )
-    return F.when(F.size(typed) > DEPTH, F.concat(F.slice(typed, 1, DEPTH), F.array(F.lit("**")))).otherwise(typed)
 
 
-def template_tree(templates: DataFrame, *, most_children: int = 64, least: int = 20, z: float = 2.58) -> DataFrame:
+def template_tree(templates: DataFrame, *, least: int = 20, z: float = 2.58) -> DataFrame:
     """``host``, ``segs``, ``template``, and the counts ``pages``, ``labelled``, ``good`` of that template.
 
     ``templates``: a row for each (``host``, ``segs``) with ``pages``, ``labelled``, ``good``.
-    At each level a branch stays apart only where its parent has at most ``most_children``
-    branches, it has at least ``least`` labelled pages, and its purity is more than ``z``
-    standard errors from that of its siblings together, or it is the only one; all other
-    branches merge into ``*``.
+    At each level a branch stays apart only where it has at least ``least`` labelled pages,
+    and its purity is more than ``z`` standard errors from that of its siblings together, or
+    it is the only one; all other branches merge into ``*``, however many there are. Below
+    ``DEPTH``, what follows a node with fewer than ``least`` labelled pages becomes ``**``.
     """
-    rows = templates.withColumn("template", F.lit(""))
-    for level in range(DEPTH + 1):
-        seg = F.get("segs", F.lit(level))
-        rows = rows.withColumn("seg", seg)
+    rows, level = templates.withColumn("template", F.lit("")).withColumn("open", F.lit(True)), 0
+    while True:
+        rows = rows.withColumn("seg", F.when(F.col("open"), F.get("segs", F.lit(level))))
         deep = rows.where("seg is not null")
         node = deep.groupBy("host", "template", "seg").agg(F.sum("labelled").alias("l"), F.sum("good").alias("g"))
         parent = node.groupBy("host", "template").agg(F.count("*").alias("kids"), F.sum("l").alias("pl"), F.sum("g").alias("pg"))
         p = F.col("pg") / F.greatest("pl", F.lit(1))
         spread = F.sqrt(F.greatest(p * (1 - p), F.lit(0.01)) / F.greatest("l", F.lit(1)))
-        apart = (F.col("kids") <= most_children) & (F.col("l") >= least) & (F.abs(F.col("g") / F.greatest("l", F.lit(1)) - p) > z * spread)
-        node = node.join(parent, ["host", "template"]).select("host", "template", "seg", (apart | (F.col("kids") == 1)).alias("apart"))
+        apart = (F.col("l") >= least) & (F.abs(F.col("g") / F.greatest("l", F.lit(1)) - p) > z * spread)
+        node = node.join(parent, ["host", "template"]).select("host", "template", "seg", (apart | (F.col("kids") == 1)).alias("apart"), (F.lit(level >= DEPTH) & (F.col("pl") < least)).alias("tail"))
         rows = rows.join(node, ["host", "template", "seg"], "left")
-        step = F.concat(F.lit("/"), F.when(F.col("apart"), F.col("seg")).otherwise(F.lit("*")))
-        rows = cut(rows.withColumn("template", F.when(F.col("seg").isNull(), F.col("template")).otherwise(F.concat("template", step))).drop("seg", "apart"))
-        if rows.where(F.size("segs") > level + 1).isEmpty():
+        step = F.concat(F.lit("/"), F.when(F.col("tail"), F.lit("**")).when(F.col("apart"), F.col("seg")).otherwise(F.lit("*")))
+        template = F.when(F.col("seg").isNull(), F.col("template")).otherwise(F.concat("template", step))
+        level += 1
+        rows = cut(rows.select(*templates.columns, template.alias("template"), (F.coalesce(~F.col("tail"), F.lit(False)) & (F.size("segs") > level)).alias("open")))
+        if rows.where("open").isEmpty():
             break
     total = rows.groupBy("host", "template").agg(*[F.sum(c).alias(f"t_{c}") for c in ("pages", "labelled", "good")])
     return rows.select("host", "segs", "template").join(total, ["host", "template"])
