@@ -6,8 +6,9 @@ hash and merged by aggregation, estimate their spread; a line whose estimate is
 limit gets an exact distinct count.
 
 Boilerplate frames a document's own text: it is removed where the other lines make up at
-least half of the document's words. A document that mostly consists of widespread lines is
-a copy, not framed content; it stays whole, for near-duplicate removal to decide.
+least half of the document's words. A document that mostly consists of widespread lines
+stays whole: copies are for near-duplicate removal to decide, but short framed documents
+that are no copies keep their boilerplate too.
 """
 
 from __future__ import annotations
