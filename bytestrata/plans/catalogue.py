@@ -138,7 +138,7 @@ def reassemble_sha256(spark, d):
 
 @query()
 def cdc_shift_resistance(spark, d):
-    o = objects(spark, d).where(F.octet_length("content") > 2000)
+    o = objects(spark, d)
     shifted = o.withColumn("content", F.concat(F.unhex(F.lit("21")), F.col("content")))
     out = None
     for name in ("fixed", "cdc", "fastcdc"):
@@ -216,6 +216,14 @@ def detect_category(spark, d):
     return o.select("object_id", c.alias("category"), h.alias("hint"))
 
 
+@query()
+def detect_category_head(spark, d):
+    """The category of every document by its first 8 KiB."""
+    o = objects(spark, d).withColumn("content", F.substring("content", 1, 8192))
+    c, h, _ = native.category(F.col("content"), arrow.shannon_entropy("content"))
+    return o.select("object_id", c.alias("category"), h.alias("hint"))
+
+
 @query("SELECT doc_id AS object_id, sha256(encode(text)) AS sha256 FROM documents")
 def sha256_objects(spark, d):
     return objects(spark, d).select("object_id", F.sha2("content", 256).alias("sha256"))
@@ -319,6 +327,12 @@ def match_linear(spark, d):
     return search.nearest_codeword(c, _book(spark, d), "linear").select(hexed("data"), "match.distance", "match.codebook_id")
 
 
+@query()
+def match_linear_all(spark, d):
+    c = chunking.fixed(objects(spark, d)).where("size = 128").select("data").distinct()
+    return search.nearest_codeword(c, _book(spark, d), "linear").select(hexed("data"), "match.distance", "match.codebook_id")
+
+
 LSH = f"""c AS (SELECT data, {bucket_sql('data')} AS bucket FROM (SELECT DISTINCT data FROM ch WHERE octet_length(data) = 128)),
 m AS (SELECT c.data, b.codebook_id, {HAMMING} AS distance FROM c JOIN book b ON b.bucket = c.bucket UNION ALL SELECT c.data, b.codebook_id, {HAMMING} FROM c, book b WHERE c.bucket NOT IN (SELECT bucket FROM book)),
 nn AS (SELECT data, CAST(min(distance) AS BIGINT) AS distance, arg_min(codebook_id, distance * 1000 + codebook_id) AS codebook_id FROM m GROUP BY data)"""
@@ -342,6 +356,13 @@ def match_tiered(spark, d):
     return search.nearest_codeword(c, books, "linear").select(hexed("data"), "match.codebook_index", "match.distance")
 
 
+@query()
+def match_tiered_all(spark, d):
+    c = chunking.fixed(objects(spark, d)).where("size = 128").select("data").distinct()
+    books = [_book(spark, d, "lang = 'en'", 100), _book(spark, d, "lang = 'de'", 100)]
+    return search.nearest_codeword(c, books, "linear").select(hexed("data"), "match.codebook_index", "match.distance")
+
+
 @query(f"{BASE}, {LSH} SELECT codebook_id, count(*) AS used FROM nn GROUP BY codebook_id ORDER BY used DESC, codebook_id LIMIT 20")
 def match_multipass(spark, d):
     c = chunking.fixed(objects(spark, d)).where("size = 128").select("data").distinct()

@@ -221,3 +221,27 @@ def test_entry_works_without_the_subpackage():
     code = "import sys; sys.modules['bytestrata.llm'] = None; import __spark_entry__ as e; q = e.queries(); assert q and not any(n.startswith('op') for n in q) and 'pipeline' not in q and set(e.oracle_sql()) <= set(q)"
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True)
+
+
+def whole_documents(spark, d):
+    import random
+
+    rng = random.Random(21)
+    docs = [(i, "".join(rng.choice("abcdefgh \n") for _ in range(n)), "en" if i % 2 else "de", "s", n) for i, n in enumerate((300, 900, 2500, 9000, 64, 700))]
+    docs += [(6, docs[1][1][:256] * 3, "en", "s", 768), (7, docs[0][1], "de", "s", 300)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
+    return {r[0]: r[1].encode() for r in docs}
+
+
+def test_queries_over_all_documents(spark, tmp_path):
+    from bytestrata.plans.catalogue import QUERIES
+
+    docs, d = whole_documents(spark, tmp_path), str(tmp_path)
+    full = {b[i : i + 128] for b in docs.values() for i in range(0, len(b) - 127, 128)}
+    for name in ("match_linear_all", "match_tiered_all"):
+        assert sorted(r.data for r in QUERIES[name](spark, d).collect()) == sorted(x.hex() for x in full)
+    assert sorted(r.object_id for r in QUERIES["detect_category_head"](spark, d).collect()) == sorted(docs)
+    fixed = {(i, b[j : j + 64]) for i, b in docs.items() for j in range(0, len(b), 64)}
+    moved = {(i, (b"!" + b)[j : j + 64]) for i, b in docs.items() for j in range(0, len(b) + 1, 64)}
+    got = {r.chunker: (r.shared, r.ratio) for r in QUERIES["cdc_shift_resistance"](spark, d).collect()}
+    assert got["fixed"] == (len(fixed & moved), round(len(fixed & moved) / len(fixed), 6))
