@@ -124,6 +124,16 @@ def chunk_cdc(spark, d):
     return chunking.cdc(objects(spark, d, "benchmark", "item_id"), 64).select("object_id", (F.col("chunk_idx") + 1).alias("chunk_idx"), "size")
 
 
+@query()
+def chunk_fastcdc_documents(spark, d):
+    return chunking.fastcdc(objects(spark, d), 64).select("object_id", (F.col("chunk_idx") + 1).alias("chunk_idx"), "size")
+
+
+@query()
+def chunk_cdc_documents(spark, d):
+    return chunking.cdc(objects(spark, d), 64).select("object_id", (F.col("chunk_idx") + 1).alias("chunk_idx"), "size")
+
+
 @query()
 def chunk_contextual(spark, d):
     c = chunking.contextual(objects(spark, d))
@@ -231,7 +241,7 @@ def sha256_objects(spark, d):
 
 @query()
 def hash_suite(spark, d):
-    return objects(spark, d, "benchmark", "item_id").select("object_id", arrow.fnv1a_64("content").alias("fnv1a"), arrow.xxh64_seed0("content").alias("xxh64"), F.sha2("content", 256).alias("sha256"))
+    return objects(spark, d).select("object_id", arrow.fnv1a_64("content").alias("fnv1a"), arrow.xxh64_seed0("content").alias("xxh64"), F.sha2("content", 256).alias("sha256"))
 
 
 @query("SELECT p_partkey, string_agg(lpad(lower(hex(((p_partkey & 255) * x * x + ((p_partkey >> 8) & 255) * x + ((p_partkey >> 16) & 255)) % 256)), 2, '0'), '' ORDER BY x) AS bytes FROM part, range(16) t(x) GROUP BY 1")
@@ -377,6 +387,31 @@ def hamming_pairs(spark, d):
     return o.join(b, "object_id").select(F.col("object_id").alias("a"), (F.col("object_id") + 1).alias("b"), arrow.hamming_bits("c", "e").alias("distance"))
 
 
+def _chunk_pairs(spark, d):
+    """Every chunk ``c`` of a document with that of the same place in the next document, ``e``; empty where that has none."""
+    c = chunking.fixed(objects(spark, d)).select("object_id", "chunk_idx", F.col("data").alias("c"))
+    e = c.select((F.col("object_id") - 1).alias("object_id"), "chunk_idx", F.col("c").alias("e"))
+    return c.join(e, ["object_id", "chunk_idx"], "left").withColumn("e", F.coalesce("e", F.unhex(F.lit(""))))
+
+
+@query()
+def hamming_pairs_chunks(spark, d):
+    p = _chunk_pairs(spark, d).where(F.octet_length("c") == F.octet_length("e"))
+    return p.select(F.col("object_id").alias("a"), (F.col("object_id") + 1).alias("b"), "chunk_idx", arrow.hamming_bits("c", "e").alias("distance"))
+
+
+@query()
+def patch_roundtrip_chunks(spark, d):
+    x = _chunk_pairs(spark, d).withColumn("s", arrow.diff_bytes("c", "e"))
+    return x.select("object_id", "chunk_idx", (arrow.patch_bytes("e", "s") == F.col("c")).alias("patch_same"))
+
+
+@query()
+def xor_residual_chunks(spark, d):
+    p = _chunk_pairs(spark, d).where(F.octet_length("c") == F.octet_length("e"))
+    return p.select("object_id", "chunk_idx", F.lower(F.hex(arrow.xor_bytes("c", "e"))).alias("x"))
+
+
 # ---- routing, residuals, decoding ----
 def _entries(spark, d, options=packing.PackOptions(), where=None, n=None):
     n = n or options.chunk_size

@@ -245,3 +245,22 @@ def test_queries_over_all_documents(spark, tmp_path):
     moved = {(i, (b"!" + b)[j : j + 64]) for i, b in docs.items() for j in range(0, len(b) + 1, 64)}
     got = {r.chunker: (r.shared, r.ratio) for r in QUERIES["cdc_shift_resistance"](spark, d).collect()}
     assert got["fixed"] == (len(fixed & moved), round(len(fixed & moved) / len(fixed), 6))
+
+
+def test_chunkers_and_residuals_over_whole_documents(spark, tmp_path):
+    import hashlib
+
+    from bytestrata.plans.catalogue import QUERIES
+
+    docs, d = whole_documents(spark, tmp_path), str(tmp_path)
+    for name in ("chunk_fastcdc_documents", "chunk_cdc_documents"):
+        total = dict.fromkeys(docs, 0)
+        for r in QUERIES[name](spark, d).collect():
+            total[r.object_id] += r["size"]
+        assert total == {i: len(b) for i, b in docs.items()}
+    assert {r.object_id: r.sha256 for r in QUERIES["hash_suite"](spark, d).collect()} == {i: hashlib.sha256(b).hexdigest() for i, b in docs.items()}
+    chunks = {(i, k): b[k * 128 : k * 128 + 128] for i, b in docs.items() for k in range(-(-len(b) // 128))}
+    both = {(i, k): bytes(x ^ y for x, y in zip(c, chunks[i + 1, k])) for (i, k), c in chunks.items() if len(chunks.get((i + 1, k), b"")) == len(c)}
+    assert {(r.object_id, r.chunk_idx): r.x for r in QUERIES["xor_residual_chunks"](spark, d).collect()} == {k: v.hex() for k, v in both.items()}
+    assert {(r.a, r.chunk_idx): r.distance for r in QUERIES["hamming_pairs_chunks"](spark, d).collect()} == {k: sum(x.bit_count() for x in v) for k, v in both.items()}
+    assert {(r.object_id, r.chunk_idx): r.patch_same for r in QUERIES["patch_roundtrip_chunks"](spark, d).collect()} == dict.fromkeys(chunks, True)
