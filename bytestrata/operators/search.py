@@ -87,7 +87,7 @@ def restrict(book: DataFrame, allowed: DataFrame) -> DataFrame:
     return book.join(allowed.select("codebook_id").distinct(), "codebook_id", "left_semi")
 
 
-def most_used(matched: DataFrame, most: int = 256) -> DataFrame:
-    """The ``most`` most used codeword ids, ties by id."""
-    used = matched.groupBy(F.col("match.codebook_id").alias("codebook_id")).agg(F.count("*").alias("used"))
+def most_used(matched: DataFrame, most: int = 256, weight: str | None = None) -> DataFrame:
+    """The ``most`` most used codeword ids, ties by id. A row counts once, or ``weight`` times."""
+    used = matched.groupBy(F.col("match.codebook_id").alias("codebook_id")).agg((F.sum(weight) if weight else F.count("*")).alias("used"))
     return used.orderBy(F.desc("used"), "codebook_id").limit(most)

@@ -379,6 +379,16 @@ def match_multipass(spark, d):
     return search.most_used(search.nearest_codeword(c, _book(spark, d)), 20)
 
 
+@query()
+def match_multipass_restricted(spark, d):
+    """Use counted over all chunks, the book restricted to its top 256, all chunks matched again."""
+    c = chunking.fixed(objects(spark, d)).groupBy("data").agg(F.count("*").alias("n"))
+    book = _book(spark, d)
+    used = search.most_used(search.nearest_codeword(c, book), 256, "n")
+    again = search.nearest_codeword(c, search.restrict(book, used))
+    return again.select(hexed("data"), "n", "match.codebook_id", "match.distance")
+
+
 @query("""SELECT x.doc_id AS a, y.doc_id AS b, bit_count(xor(CAST(array_slice(encode(x.text), 1, 128) AS BIT), CAST(array_slice(encode(y.text), 1, 128) AS BIT))) AS distance
 FROM documents x JOIN documents y ON y.doc_id = x.doc_id + 1 WHERE octet_length(encode(x.text)) >= 128 AND octet_length(encode(y.text)) >= 128""".replace("bit_count(xor", "CAST(bit_count(xor").replace(" AS BIT))) AS distance", " AS BIT))) AS BIGINT) AS distance"))
 def hamming_pairs(spark, d):

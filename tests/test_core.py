@@ -264,3 +264,16 @@ def test_chunkers_and_residuals_over_whole_documents(spark, tmp_path):
     assert {(r.object_id, r.chunk_idx): r.x for r in QUERIES["xor_residual_chunks"](spark, d).collect()} == {k: v.hex() for k, v in both.items()}
     assert {(r.a, r.chunk_idx): r.distance for r in QUERIES["hamming_pairs_chunks"](spark, d).collect()} == {k: sum(x.bit_count() for x in v) for k, v in both.items()}
     assert {(r.object_id, r.chunk_idx): r.patch_same for r in QUERIES["patch_roundtrip_chunks"](spark, d).collect()} == dict.fromkeys(chunks, True)
+
+
+def test_multipass_weighs_restricts_and_matches_again(spark, tmp_path):
+    from collections import Counter
+
+    from bytestrata.operators import search
+    from bytestrata.plans.catalogue import QUERIES
+
+    docs = whole_documents(spark, tmp_path)
+    want = Counter(b[i : i + 128].hex() for b in docs.values() for i in range(0, len(b), 128))
+    assert {r.data: r.n for r in QUERIES["match_multipass_restricted"](spark, str(tmp_path)).collect()} == want
+    few = spark.createDataFrame([((0, 5, 3), 1), ((0, 4, 3), 9), ((0, 5, 3), 1)], f"match {search.MATCH}, n long")
+    assert [(r.codebook_id, r.used) for r in search.most_used(few, 1, "n").collect()] == [(4, 9)]
