@@ -292,14 +292,13 @@ def test_decontamination_cases(spark):
     assert decontam.canonical("It cost $5. Then Bob ran 5km and 12 % more")[0] == ["it", "cost", decontam.NUM, "then", decontam.NAME, "ran", decontam.NUM, decontam.UNIT, "and", decontam.NUM, decontam.UNIT, "more"]
 
 
-def test_decontamination_blocks_and_slots(spark):
+def test_decontamination_slots_are_consistent(spark):
     text = "the train leaves at 10 and then the bus leaves at 10 and then the boat leaves at 20 for the isle"
     docs = [(1, text), (2, text.replace("10", "30")), (3, text.replace("10", "30", 1))]
     bench_rows = [(1, text), (2, "some other item that is long enough to have a window of its own")]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    for size in (1 << 20, 60):
-        out = {r.row.doc_id: len(r.matches) for r in decontam.contamination(df, bench(spark, bench_rows), block_bytes=size).collect()}
-        assert out == {1: 1, 2: 1, 3: 0}
+    out = {r.row.doc_id: len(r.matches) for r in decontam.contamination(df, bench(spark, bench_rows)).collect()}
+    assert out == {1: 1, 2: 1, 3: 0}
 
 
 def test_language_id_held_out(spark):
