@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from ..session import ship
 from .common import written
@@ -47,8 +48,8 @@ _LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ°"
 NUM, NAME, UNIT = "\x00num", "\x00name", "\x00unit"
 _LIT, _NUM, _NAME, _UNIT, _GLUED = 1, 2, 3, 4, 5
 _U = np.uint64
-#: Salts of the two readings, placeholder hashes by kind.
-_TEMPLATE, _WORDS = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F)
+#: The factor of rolling hashes, salts of the two readings, placeholder hashes by kind.
+_STEP, _TEMPLATE, _WORDS = _U(0xD6E8FEB86659FD93), _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F)
 _SLOT = np.array([0, 0, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
 MATCH = "array<struct<item_id:bigint,coverage:double,reparameterised:boolean>>"
 #: So many rows of benchmark windows (some 60 bytes each) are broadcast; more are joined by a shuffle.
@@ -86,31 +87,47 @@ class Lexer(dict):
 
     def reset(self) -> None:
         self.clear()
-        self.kind, self.hash = np.zeros(1024, np.uint8), np.zeros(1024, np.uint64)
-        self.opens, self.ends = np.zeros(1024, bool), np.zeros(1024, bool)
-        self.value: list[str] = []
-        self.unit: list[str] = []
+        self.kind, self.hash, self.opens, self.ends = np.empty(0, np.uint8), np.empty(0, np.uint64), np.empty(0, bool), np.empty(0, bool)
+        self.core: list[str] = []
+        self.new: list[tuple] = []
 
     def __missing__(self, word: str) -> int:
-        import xxhash
-
-        k = len(self.value)
-        if k == len(self.kind):
-            self.kind, self.hash, self.opens, self.ends = (np.concatenate([x, np.zeros_like(x)]) for x in (self.kind, self.hash, self.opens, self.ends))
-        core = word.strip(_EDGE)
-        kind, value = _kind(core) if core else (0, "")
-        self.kind[k], self.hash[k] = kind, xxhash.xxh64_intdigest(core.lower())
-        self.opens[k], self.ends[k] = not core or word[0] != core[0], not core or word[-1] != core[-1]
-        self.value.append(value)
-        self.unit.append(core[len(value) :].lower() if kind == _GLUED else value)
-        self[word] = k
+        if word.isalpha():
+            core, opens, ends = word, False, False
+        else:
+            core = word.strip(_EDGE)
+            opens, ends = not core or word[0] != core[0], not core or word[-1] != core[-1]
+        low = core.lower()
+        if core.isalpha() and core == low:  # most words
+            kind = _UNIT if low in UNITS else _NUM if low in NUMBERS else _LIT
+        else:
+            kind = _kind(core)[0] if core else 0
+        self.new.append((kind, xxh64_intdigest(low), opens, ends))
+        self.core.append(core)
+        self[word] = k = len(self.core) - 1
         return k
 
+    def value(self, k: int) -> str:
+        return _kind(self.core[k])[1]
+
+    def unit(self, k: int) -> str:
+        """The unit of a word that is one or that ends in one."""
+        core, (kind, value) = self.core[k], _kind(self.core[k])
+        return core[len(value) :].lower() if kind == _GLUED else value
+
     def read(self, text: str | None) -> Reading:
         if len(self) > self.most:
             self.reset()
         words = (text or "").split()
-        return Reading(self, np.fromiter(map(self.__getitem__, words), np.int64, len(words)))
+        code = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        if self.new:
+            end, start = len(self.core), len(self.core) - len(self.new)
+            if end > len(self.kind):
+                self.kind, self.hash, self.opens, self.ends = (np.concatenate([x, np.zeros(end, x.dtype)]) for x in (self.kind, self.hash, self.opens, self.ends))
+            for x, y in zip((self.kind, self.hash, self.opens, self.ends), zip(*self.new)):
+                x[start:end] = y
+            self.new = []
+        return Reading(self, code)
 
 
 class Reading:
@@ -143,8 +160,8 @@ class Reading:
         """What the token says, in small letters."""
         run = range(self.first[i], self.last[i])
         if self.kind[i] == _UNIT:
-            return self.lexer.unit[self.code[run[0]]]
-        return " ".join(self.lexer.value[self.code[j]] for j in run)
+            return self.lexer.unit(self.code[run[0]])
+        return " ".join(self.lexer.value(self.code[j]) for j in run)
 
 
 def canonical(text: str | None) -> tuple[list[str], list[str]]:
@@ -158,7 +175,7 @@ def _rolled(h: np.ndarray, n: int, salt) -> np.ndarray:
     m = len(h) - n + 1
     acc = np.full(max(m, 0), salt ^ _U(n), np.uint64)
     for j in range(n if m > 0 else 0):
-        acc = mix(acc) + h[j : j + m]
+        acc = acc * _STEP + h[j : j + m]
     return mix(acc)
 
 
@@ -337,7 +354,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 8, cov
         lexer, last, known, out = Lexer(1 << 62), None, {}, []
         for t, i in zip(texts, others):
             t, i = t.as_py(), i.as_py()
-            if len(lexer.value) > 1_000_000:
+            if len(lexer) > 1_000_000:
                 lexer, last, known = Lexer(1 << 62), None, {}
             if last is None or last[0] != t:
                 last = (t, lexer.read(t))
