@@ -1,31 +1,59 @@
 """Quality rules: fixed limits, then robust multivariate outliers. DataFrame functions only.
 
-Each text gives a vector of transformed statistics. For every (lang, source) the location
-and scatter of most texts are estimated by minimum covariance determinant: from two
-starts (median and absolute deviations; mean and covariance), concentration steps refit
-both on the half-plus of smallest Mahalanobis distance, and the smaller determinant wins.
-A text whose distance to its group exceeds a chi-square limit is rejected.
-
-A step is one aggregation with map-side sums: distances are binned on a logarithmic scale
-and each bin keeps count, sums and products, so a group's subset is a prefix of its bins
-and no group's rows meet in one task.
+Each text gives a vector of transformed statistics. For every (lang, source) the location and
+scatter of most texts are estimated by minimum covariance determinant: from two starts (median
+and quartiles; mean and covariance), concentration steps refit both on the ``share`` of rows
+with the smallest Mahalanobis distances until the determinant stops falling, and the smaller
+determinant wins. A text whose distance to its group exceeds a chi-square limit is rejected.
+A group of few passing rows borrows the estimate of its language, and that of all texts where
+the language has few too.
+
+A step is two aggregations with map-side sums: a quantile of the distances (exact up to
+``ACCURACY`` rows a group, within 1 / ``ACCURACY`` of the rank beyond), then sums and products of
+the rows below it, and of those on it with the weight that makes up the subset's exact size. No
+group's rows meet in one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, words_sql
+from .common import cut, words_sql, written
 
-#: Upper 1e-5 quantile of the chi-square distribution with 4 degrees of freedom, and the
-#: factor by which the covariance of the inner three quarters falls short (chi-square 4).
-CUTOFF, CONSISTENCY = 28.47, 1.0 / 0.594
+ACCURACY = 10_000
 #: Least standard deviation of a coordinate: what clean texts may differ by in any case.
 FLOOR = (0.35, 0.10, 0.12, 0.12)
 P = len(FLOOR)
+
+
+def _chi_square(x: float, degrees: int) -> float:
+    """P(chi-square <= x) for even ``degrees``."""
+    term = total = 1.0
+    for k in range(1, degrees // 2):
+        term *= x / 2 / k
+        total += term
+    return 1 - math.exp(-x / 2) * total
+
+
+def quantile(p: float, degrees: int = P) -> float:
+    low, high = 0.0, 1e3
+    for _ in range(100):
+        mid = (low + high) / 2
+        low, high = (mid, high) if _chi_square(mid, degrees) < p else (low, mid)
+    return high
+
+
+def consistency(share: float, degrees: int = P) -> float:
+    """What the covariance of the inner ``share`` of a normal sample is multiplied by."""
+    return share / _chi_square(quantile(share, degrees), degrees + 2)
+
+
+#: The upper 1e-5 quantile of the chi-square distribution.
+CUTOFF = quantile(1 - 1e-5)
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-BINS, PER_E = 160, 12  # bins of log distance, and bins for each factor of e
 
 
 def repeated_words(words: str, window: int = 8) -> str:
@@ -86,14 +114,15 @@ _CELLS = [(i, j) for i in range(P) for j in range(i, P)]
 def _cholesky(df: DataFrame) -> DataFrame:
     """Adds the inverse Cholesky steps of the scatter s.. as l.. and its log determinant.
 
-    The scatter gets the floor's squares on its diagonal, so it is always positive definite.
+    A variance is at least the floor's square, and what the others leave of it at least a tenth
+    of that, so the scatter is always positive definite.
     """
     for j in range(P):
         for i in range(j, P):
-            v = F.col(_upper(i, j)) + (F.lit(FLOOR[i] ** 2) if i == j else F.lit(0.0))
+            v = F.greatest(F.col(_upper(i, i)), F.lit(FLOOR[i] ** 2)) if i == j else F.col(_upper(i, j))
             for k in range(j):
                 v = v - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            df = df.withColumn(f"l{i}{j}", F.sqrt(F.greatest(v, F.lit(1e-12))) if i == j else v / F.col(f"l{j}{j}"))
+            df = df.withColumn(f"l{i}{j}", F.sqrt(F.greatest(v, F.lit(FLOOR[i] ** 2 / 10))) if i == j else v / F.col(f"l{j}{j}"))
     return df.withColumn("logdet", sum((2 * F.log(f"l{i}{i}") for i in range(1, P)), 2 * F.log("l00")))
 
 
@@ -110,6 +139,9 @@ def _distance(x: str = "x") -> Column:
 _PARAMS = [f"m{i}" for i in range(P)] + [f"l{i}{j}" for j in range(P) for i in range(j, P)]
 
 
+_SUMS = ["n", *[f"t{i}" for i in range(P)], *[f"t{i}{j}" for i, j in _CELLS]]
+
+
 def _moments() -> list[Column]:
     return [F.sum(f"x{i}").alias(f"t{i}") for i in range(P)] + [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"t{i}{j}") for i, j in _CELLS] + [F.count("*").alias("n")]
 
@@ -120,31 +152,53 @@ def _shape(df: DataFrame, factor: float) -> DataFrame:
     return df.select("*", *[((F.col(f"t{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")) * factor).alias(_upper(i, j)) for i, j in _CELLS])
 
 
-def fit(stats: DataFrame, *, steps: int = 4, least: int = 40, share: float = 0.75) -> DataFrame:
-    """Location and inverse scatter for each (lang, source) of at least ``least`` passing rows."""
-    key = ["lang", "source"]
-    x = cut(stats.where(~F.col("base_failed")).select(*key, *[v.alias(f"x{i}") for i, v in enumerate(vector())]))
-    med = x.groupBy(*key).agg(F.count("*").alias("all"), *[F.percentile_approx(f"x{i}", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(f"q{i}") for i in range(P)], *_moments()).where(F.col("all") >= least)
-    robust = med.select(*key, "all", F.lit(0).alias("start"), *[F.col(f"q{i}")[1].alias(f"m{i}") for i in range(P)], *[(F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, 2) if i == j else F.lit(0.0)).alias(_upper(i, j)) for i, j in _CELLS])
-    plain = _shape(med, 1.0).withColumn("start", F.lit(1)).select(*robust.columns)
-    now = cut(_cholesky(robust.unionByName(plain)).select(*key, "start", "all", "logdet", *_PARAMS))
-    for _ in range(steps):
-        d = x.join(now.withColumnsRenamed({"lang": "gl", "source": "gs"}), F.col("lang").eqNullSafe(F.col("gl")) & F.col("source").eqNullSafe(F.col("gs")))
-        bin_ = F.least(F.lit(BINS - 1), F.greatest(F.lit(0), F.floor((F.log(_distance() + 1e-3) + 7) * PER_E).cast("int")))
-        bins = d.withColumn("bin", bin_).groupBy(*key, "start", "all", "bin").agg(*_moments())
-        w = Window.partitionBy(*key, "start").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-        inner = bins.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))).where(F.col("before") < share * F.col("all"))
-        sums = [F.sum(c).alias(c) for c in ["n", *[f"t{i}" for i in range(P)], *[f"t{i}{j}" for i, j in _CELLS]]]
-        now = cut(_cholesky(_shape(inner.groupBy(*key, "start", "all").agg(*sums), CONSISTENCY)).select(*key, "start", "all", "logdet", *_PARAMS))
-    best = now.groupBy(*key).agg(F.min(F.struct("logdet", "start", *_PARAMS)).alias("b"))
-    return cut(best.select(F.col("lang").alias("gl"), F.col("source").alias("gs"), *[f"b.{c}" for c in _PARAMS]))
+def _ids(lang: str = "lang", source: str = "source") -> list[Column]:
+    """Keys of a row's group, of its language and of all rows."""
+    mark = lambda c: [F.col(c).isNull(), F.col(c)]
+    return [F.xxhash64(F.lit(0), *mark(lang), *mark(source)).alias("g0"), F.xxhash64(F.lit(1), *mark(lang)).alias("g1"), F.xxhash64(F.lit(2)).alias("g2")]
+
+
+def fit(stats: DataFrame, *, least: int = 40, share: float = 0.75, tolerance: float = 1e-6) -> DataFrame:
+    """Location and inverse scatter for each (lang, source) with a passing row, by its key ``g0``.
+
+    Groups of at least ``least`` passing rows have their own estimate; the rows of smaller ones
+    take that of their language, or of all rows where the language has fewer too.
+    """
+    x = written(stats.where(~F.col("base_failed")).select(*_ids(), *[v.alias(f"x{i}") for i, v in enumerate(vector())]))
+    groups = x.groupBy("g0", "g1", "g2").agg(F.count("*").alias("n0"))
+    langs = groups.groupBy("g1").agg(F.sum("n0").alias("n1"))
+    own = F.when(F.col("n0") >= least, F.col("g0")).when(F.col("n1") >= least, F.col("g1")).otherwise(F.col("g2"))
+    chosen = written(groups.join(langs, "g1").select("g0", own.alias("gid")))
+    rows = x.select(F.explode(F.array("g0", "g1", "g2")).alias("gid"), *[f"x{i}" for i in range(P)])
+    rows = written(rows.join(chosen.select("gid").distinct(), "gid", "left_semi"))
+    med = rows.groupBy("gid").agg(*[F.percentile_approx(f"x{i}", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), ACCURACY).alias(f"q{i}") for i in range(P)], *_moments())
+    robust = med.select("gid", F.col("n").alias("all"), F.lit(0).alias("start"), *[F.col(f"q{i}")[1].alias(f"m{i}") for i in range(P)], *[(F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, 2) if i == j else F.lit(0.0)).alias(_upper(i, j)) for i, j in _CELLS])
+    plain = _shape(med.withColumn("all", F.col("n")), 1.0).withColumn("start", F.lit(1)).select(*robust.columns)
+    cols = ["gid", "start", "all", "logdet", "done", *_PARAMS]
+    now = _cholesky(robust.unionByName(plain)).withColumns({"logdet": F.lit(float("inf")), "done": F.lit(False)})
+    now = written(now.select(*cols))
+    while not now.where("not done").isEmpty():
+        d = rows.join(now.where("not done"), "gid").withColumn("d", _distance())
+        edge = d.groupBy("gid", "start").agg(F.percentile_approx("d", share, ACCURACY).alias("edge")).withColumnsRenamed({"gid": "eg", "start": "es"})
+        d = d.join(edge, (F.col("gid") == F.col("eg")) & (F.col("start") == F.col("es"))).where("d <= edge")
+        sums = d.groupBy("gid", "start", "all", (F.col("d") == F.col("edge")).alias("tie")).agg(*_moments())
+        # the subset has ceil(share * all) rows: those below the edge, and of those on it what is missing
+        sums = sums.groupBy("gid", "start", "all").agg(*[F.struct(F.coalesce(F.sum(F.when(~F.col("tie"), F.col(c))), F.lit(0.0)).alias("below"), F.coalesce(F.sum(F.when(F.col("tie"), F.col(c))), F.lit(0.0)).alias("on")).alias(c) for c in _SUMS])
+        weight = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.ceil(F.col("all") * share) - F.col("n.below")) / F.greatest(F.col("n.on"), F.lit(1.0))))
+        sums = sums.withColumn("weight", weight)
+        new = _cholesky(_shape(sums.select("gid", "start", "all", *[(F.col(f"{c}.below") + F.col("weight") * F.col(f"{c}.on")).alias(c) for c in _SUMS]), consistency(share)))
+        new = new.select("gid", "start", F.struct("logdet", *_PARAMS).alias("new"))
+        both = now.join(new, ["gid", "start"], "left")
+        better = F.col("new").isNotNull() & (F.col("new.logdet") < F.col("logdet") - tolerance)
+        now = written(both.select("gid", "start", "all", F.when(better, F.col("new.logdet")).otherwise(F.col("logdet")).alias("logdet"), (~better).alias("done"), *[F.when(better, F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) for c in _PARAMS]))
+    best = now.groupBy("gid").agg(F.min(F.struct("logdet", "start", *_PARAMS)).alias("b"))
+    return written(chosen.join(best, "gid").select("g0", *[f"b.{c}" for c in _PARAMS]))
 
 
 def judged(rows: DataFrame, model: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
-    """``rows`` with ``distance`` (null without an estimate) and ``kept``."""
+    """``rows`` with ``distance`` (null only where no row of the table has an estimate) and ``kept``."""
     cols = rows.columns
-    x = rows.select("*", *[v.alias(f"x{i}") for i, v in enumerate(vector())])
-    x = x.join(model, F.col("lang").eqNullSafe(F.col("gl")) & F.col("source").eqNullSafe(F.col("gs")), "left")
+    x = rows.select("*", _ids()[0], *[v.alias(f"x{i}") for i, v in enumerate(vector())]).join(model, "g0", "left")
     x = x.withColumn("distance", _distance())
     return x.select(*cols, "distance", (~F.col("base_failed") & (F.col("distance").isNull() | (F.col("distance") <= cutoff))).alias("kept"))
 
@@ -153,10 +207,12 @@ def quality_rules(docs: DataFrame, **options) -> DataFrame:
     """``doc_id``, the five counts, ``base_failed``, ``distance`` and ``kept`` for every row.
 
     Needs ``doc_id``, ``text``, ``lang``, ``source``; other columns are ignored. Null, empty or
-    blank text: no words, base_failed. Null lang or source: a group like any other. Groups of
-    fewer than 40 passing rows have no estimate, and their passing rows are kept. Repeated
-    rows: each counts and gets the same verdict. Ties at the limit are kept. Null doc_id:
-    judged like any other. Empty table: no rows.
+    blank text: no words, base_failed. Null lang or source: a group like any other. Every row
+    that passes the fixed limits has a distance, in a small group to the estimate of its language
+    or of all texts; rows of a group without a passing row have none. Repeated rows: each counts
+    and gets the same verdict. Ties on the edge of a subset share the weight that is left; a
+    distance equal to the limit is kept. Very long texts: counted whole. Null doc_id: judged like
+    any other. Empty table: no rows.
     """
     rows = measured(docs.select("doc_id", "text", "lang", "source"))
     rows = cut(rows.select(F.col("row.doc_id").alias("doc_id"), "lang", "source", *STATS, "base_failed"))
@@ -164,7 +220,11 @@ def quality_rules(docs: DataFrame, **options) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that ``quality_rules`` keeps, with their columns as they are."""
+    """The rows of ``docs`` that ``quality_rules`` keeps, with their columns as they are.
+
+    Null and very long texts, nulls in other columns, ties, repeated rows and an empty table as
+    there; other columns are carried whatever their names.
+    """
     rows = measured(docs)
     model = fit(rows.drop("row"), **options)
     return judged(rows, model).where("kept").select("row.*")
