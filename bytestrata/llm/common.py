@@ -71,15 +71,19 @@ def release(spark: SparkSession) -> None:
             return
 
 
-def fresh(df: DataFrame, *names: str) -> list[str]:
-    """``names``, each changed until no column of ``df`` has it (in any case)."""
-    taken, out = {c.lower() for c in df.columns}, []
-    for name in names:
-        while name.lower() in taken:
-            name = f"_{name}"
-        taken.add(name.lower())
-        out.append(name)
-    return out
+#: So many rows are broadcast at most; a larger side is dealt over ``SALTS`` copies of each key.
+MOST_BROADCAST, SALTS = 200_000, 16
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", most: int | None = None) -> DataFrame:
+    """``left`` joined with ``right``, of which each key has one row; a hot key of ``left`` fills no single task.
+
+    ``right`` must be cheap to read (written or cut): its rows are counted.
+    """
+    if right.limit((MOST_BROADCAST if most is None else most) + 1).count() <= (MOST_BROADCAST if most is None else most):
+        return left.join(F.broadcast(right), keys, how)
+    salted = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.withColumn("_salt", F.floor(F.rand(7) * SALTS).cast("int")).join(salted, [*keys, "_salt"], how).drop("_salt")
 
 
 def numbered(df: DataFrame, pid: str, idx: str, by: str, out: str) -> DataFrame:
