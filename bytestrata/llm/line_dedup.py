@@ -5,10 +5,8 @@ seen fewer times than that are out at once. HyperLogLog sketches of the others,
 hash and merged by aggregation, estimate their spread; a line whose estimate is near the
 limit gets an exact distinct count.
 
-Boilerplate frames a document's own text: it is removed where the other lines make up at
-least half of the document's words. A document that mostly consists of widespread lines
-stays whole: copies are for near-duplicate removal to decide, but short framed documents
-that are no copies keep their boilerplate too.
+Boilerplate frames a document's own text, from which it is removed. A document without a
+line of its own has nothing to frame: it is a copy, left whole for near-duplicate removal.
 """
 
 from __future__ import annotations
@@ -16,17 +14,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import spread_join, written
 
 LG_K, NEAR = 12, 0.2
-
-
-#: So many boilerplate hashes (8 bytes each) are broadcast; more are joined by a shuffle.
-MOST_BROADCAST = 200_000
-
-
-def _words(line) -> Column:
-    return F.size(F.array_remove(F.split(F.translate(line, "\t\x0b\x0c\r", "    "), " "), ""))
+_BLANK = r"translate({}, ' \t\u000b\u000c\r', '') = ''"
 
 
 def _keys(text: Column) -> list[Column]:
@@ -35,59 +26,57 @@ def _keys(text: Column) -> list[Column]:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """A row for each line with a word: text key (``k1``, ``k2``), ``site``, ``i``, ``line``, ``h``."""
+    """A row for each line with a word: text key (``k1``, ``k2``), ``site`` (a hash), its place ``i`` and hash ``h``."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    out = docs.select(*_keys(text), "site", F.posexplode(F.split(text, "\n")).alias("i", "line"))
-    return out.where(F.translate("line", " \t\x0b\x0c\r", "") != "").withColumn("h", F.xxhash64("line"))
+    out = docs.select(*_keys(text), F.when(F.col("site").isNotNull(), F.xxhash64("site")).alias("site"), F.posexplode(F.split(text, "\n")).alias("i", "line"))
+    return out.where(~F.expr(_BLANK.format("line"))).select("k1", "k2", "site", "i", F.xxhash64("line").alias("h"))
 
 
 def boilerplate(lines: DataFrame, min_sites: int) -> DataFrame:
-    """The hashes ``h`` of lines that occur on at least ``min_sites`` sites."""
-    often = cut(
-        lines.select("h", F.when(F.col("site").isNotNull(), F.xxhash64("site")).alias("s")).groupBy("h").agg(F.count("s").alias("n"), F.min("s").alias("a"), F.max("s").alias("b"))
-        .where((F.col("n") >= min_sites) & ((F.col("a") < F.col("b")) | F.lit(min_sites <= 1))).select("h")
-    )
-    sketch = lines.where("site is not null").join(often, "h").groupBy("h").agg(F.hll_sketch_agg("site", LG_K).alias("s"))
-    spread = cut(sketch.select("h", F.hll_sketch_estimate("s").alias("sites")))
-    near = spread.where(F.col("sites").between(min_sites * (1 - NEAR) - 1, min_sites * (1 + NEAR) + 1))
-    exact = lines.join(near.select("h"), "h", "left_semi").where("site is not null").select("h", "site").distinct().groupBy("h").agg(F.count("*").alias("sites"))
-    return spread.join(near, "h", "left_anti").unionByName(exact).where(F.col("sites") >= min_sites).select("h")
-
-
-def strip_boilerplate(docs: DataFrame, *, site: str = "source", min_sites: int = 8, own_share: float = 0.5) -> DataFrame:
+    """The hashes ``h`` of lines that occur on at least ``min_sites`` sites.
+
+    A line's occurrences meet only as partial counts, sketches or distinct sites of a task.
+    """
+    seen = lines.where("site is not null")
+    often = seen.groupBy("h").agg(F.count("*").alias("n"), F.min("site").alias("a"), F.max("site").alias("b"))
+    often = written(often.where((F.col("n") >= min_sites) & ((F.col("a") < F.col("b")) | F.lit(min_sites <= 1))).select("h"))
+    sketch = spread_join(seen.select("h", "site"), often, ["h"]).groupBy("h").agg(F.hll_sketch_agg("site", LG_K).alias("s"))
+    spread = written(sketch.select("h", F.hll_sketch_estimate("s").alias("sites")))
+    near = F.col("sites").between(min_sites * (1 - NEAR) - 1, min_sites * (1 + NEAR) + 1)
+    exact = spread_join(seen.select("h", "site"), spread.where(near).select("h"), ["h"]).distinct().groupBy("h").agg(F.count("*").alias("sites"))
+    return spread.where(~near).unionByName(exact).where(F.col("sites") >= min_sites).select("h")
+
+
+def strip_boilerplate(docs: DataFrame, *, site: str = "source", min_sites: int = 8) -> DataFrame:
     """``row`` (all columns of ``docs``), ``text`` without boilerplate, ``n_lines``, ``n_removed``.
 
     Needs ``text`` and ``site``; other columns are carried in ``row`` whatever their names.
     ``n_lines`` counts lines with a word; blank lines are never removed. Null text stays null,
-    with no lines; empty text stays empty. Null site: the row counts for no site, but its
-    lines are removed like others. Repeated rows: counted once for their site, changed alike.
-    A spread of exactly ``min_sites`` is boilerplate. Decisions follow from a text alone, so
-    equal texts change alike. Empty table: no rows.
+    with no lines; empty text stays empty. A document whose lines with a word are all boilerplate
+    stays as it is. Null site: the row counts for no site, but its lines are removed like others.
+    Repeated rows: counted once for their site, changed alike. A spread of exactly ``min_sites``
+    is boilerplate. Very long texts: all their lines count. Decisions follow from a text alone,
+    so equal texts change alike. Empty table: no rows.
     """
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    lines = _lines(rows.select(F.col("row.text").cast("string").alias("text"), F.col(f"row.`{site}`").cast("string").alias("site")))
-    wide = cut(boilerplate(lines, min_sites))
-    # one row for each text that has such a line; copies of a text collapse before the shuffle
-    if wide.count() <= MOST_BROADCAST:
-        hits = lines.join(F.broadcast(wide), "h", "left_semi").select("k1", "k2", "i", _words(F.col("line")).alias("w"))
-    else:
-        hits = lines.select("k1", "k2", "i", "h", _words(F.col("line")).alias("w")).join(wide, "h", "left_semi")
-    hits = hits.groupBy("k1", "k2", "i").agg(F.max("w").alias("w"))
-    hits = hits.groupBy("k1", "k2").agg(F.sum("w").alias("removed_words"), F.collect_set("i").alias("at"))
     text = F.col("row.text").cast("string")
-    filled = F.coalesce(text, F.lit(""))
-    out = rows.select("row", *_keys(filled)).join(hits, ["k1", "k2"], "left")
-    words = F.size(F.array_remove(F.split(F.translate(filled, "\t\n\x0b\x0c\r", "     "), " "), ""))
-    go = F.col("at").isNotNull() & (F.col("removed_words") <= (1 - own_share) * words)
-    out = out.select("row", "at", go.alias("go"), text.alias("t"))
-    kept = F.expr(r"array_join(transform(filter(transform(split(t, '\n'), (l, i) -> struct(l, i)), x -> not array_contains(at, x.i)), x -> x.l), '\n')")
-    blank = F.expr(r"size(filter(split(coalesce(t, ''), '\n'), l -> translate(l, ' \t\u000b\u000c\r', '') <> ''))")
-    return out.select("row", F.when(F.col("go"), kept).otherwise(F.col("t")).alias("text"), blank.cast("long").alias("n_lines"), F.when(F.col("go"), F.size("at")).otherwise(0).cast("long").alias("n_removed"))
+    lines = written(_lines(rows.select(text.alias("text"), F.col(f"row.`{site}`").cast("string").alias("site"))), "zstd")
+    wide = written(boilerplate(lines, min_sites))
+    # one row for each text that has such a line; copies of a text collapse before the shuffle
+    hits = spread_join(lines.select("h", "k1", "k2", "i"), wide, ["h"]).groupBy("k1", "k2").agg(F.collect_set("i").alias("at"))
+    out = spread_join(rows.select("row", *_keys(F.coalesce(text, F.lit("")))), written(hits), ["k1", "k2"], "left")
+    blank = _BLANK.format("l")
+    # a generator of one row, so that the lines are split and counted once
+    found = F.explode(F.expr(rf"transform(array(split(coalesce(cast(row.text as string), ''), '\n')), ls -> named_struct('ls', ls, 'n', size(filter(ls, l -> not ({blank})))))")).alias("x")
+    out = out.select("row", "at", found).select("row", "at", "x.*", (F.col("at").isNotNull() & (F.size("at") < F.col("n"))).alias("go"))
+    kept = F.expr(r"array_join(transform(array_except(sequence(0, size(ls) - 1), at), i -> ls[i]), '\n')")
+    return out.select("row", F.when(F.col("go"), kept).otherwise(text).alias("text"), F.col("n").cast("long").alias("n_lines"), F.when(F.col("go"), F.size("at")).otherwise(0).cast("long").alias("n_removed"))
 
 
 def without_boilerplate(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with its columns, ``text`` without boilerplate lines. A column ``n_chars``, if
-    there is one, is counted anew where the text changed."""
+    there is one, is counted anew where the text changed. Null, empty and very long texts, nulls
+    in other columns, ties, repeated rows and an empty table as in ``strip_boilerplate``."""
     out = strip_boilerplate(docs, **options)
     cols = []
     for c in docs.columns:

@@ -78,14 +78,14 @@ SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM n JO
     "op9_line_dedup": r"""
 WITH l AS (
   SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL),
-f AS (SELECT doc_id, source, line, i, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w FROM l),
-b AS (SELECT line FROM f WHERE w > 0 GROUP BY line HAVING count(DISTINCT source) >= 8),
-h AS (SELECT doc_id, f.line, i, w, w > 0 AND b.line IS NOT NULL AS wide FROM f LEFT JOIN b ON f.line = b.line),
+f AS (SELECT doc_id, source, line, i, regexp_matches(line, '[^\x20\x09-\x0D]') AS w FROM l),
+b AS (SELECT line FROM f WHERE w GROUP BY line HAVING count(DISTINCT source) >= 8),
+h AS (SELECT doc_id, f.line, i, w, w AND b.line IS NOT NULL AS wide FROM f LEFT JOIN b ON f.line = b.line),
 d AS (
-  SELECT doc_id, count(*) FILTER (w > 0) AS n_lines, count(*) FILTER (wide) AS n_wide, coalesce(sum(w) FILTER (wide), 0) AS gone, sum(w) AS words,
+  SELECT doc_id, count(*) FILTER (w) AS n_lines, count(*) FILTER (wide) AS n_wide,
     string_agg(line, chr(10) ORDER BY i) FILTER (NOT wide) AS rest FROM h GROUP BY doc_id)
 SELECT t.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines,
-  CAST(CASE WHEN n_wide > 0 AND 2 * gone <= words THEN n_wide ELSE 0 END AS BIGINT) AS n_removed,
-  md5(CASE WHEN n_wide > 0 AND 2 * gone <= words THEN coalesce(rest, '') ELSE t.text END) AS text_md5
+  CAST(CASE WHEN n_wide BETWEEN 1 AND n_lines - 1 THEN n_wide ELSE 0 END AS BIGINT) AS n_removed,
+  md5(CASE WHEN n_wide BETWEEN 1 AND n_lines - 1 THEN coalesce(rest, '') ELSE t.text END) AS text_md5
 FROM documents t LEFT JOIN d USING (doc_id)""",
 }
