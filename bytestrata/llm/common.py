@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,10 +33,24 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+@contextmanager
+def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Spark deletes the shuffle files of a query that starts in here as soon as it ends: its
+    result is in the shared folder, so nothing reads them again."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df``, computed once and kept in the shared folder, with its lineage cut."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with _shuffles_dropped(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)
 
 
 _scratch: set[str] = set()
@@ -49,16 +64,11 @@ def written(df: DataFrame, compression: str = "snappy") -> DataFrame:
     if not _scratch:
         atexit.register(release, spark)
     _scratch.add(path)
-    df.write.parquet(path, compression=compression)
+    with _shuffles_dropped(spark):
+        df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def tidy(spark: SparkSession) -> None:
-    """Collect the driver's garbage, so that Spark drops the shuffle files of finished rounds."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def release(spark: SparkSession) -> None:
     """Delete the scratch tables; results that still read them must have been written."""
     while _scratch:

@@ -4,7 +4,8 @@ Min-max hashing evaluates each permutation once and keeps both its minimum and i
 maximum, so a signature of 2P values costs P evaluations; each value agrees between two
 sets with probability equal to their Jaccard similarity. With ``rows`` values a band and
 ``bands`` bands a link of similarity 0.8 escapes with probability
-(1 - 0.8^rows)^bands: 5e-7 for the 6 rows and 48 bands used here.
+(1 - 0.8^rows)^bands: 5e-7 for the 6 rows and 48 bands used here. No band has both the
+minimum and the maximum of a permutation, which in a small set never are the same shingle.
 
 Equal sets collapse into one class first. In each bucket, classes are compared with a few
 centres, not with each other; what the links found so far do not join is compared in full
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship
-from .common import cut, tidy, written
+from .common import cut, written
 from .components import components
 
 ROWS, BANDS, CENTRES, FINE = 6, 48, 4, 2048
@@ -69,11 +70,19 @@ def shingle_set(text: bytes, n: int) -> set:
     return set(zip(*(words[j:] for j in range(n)))) if n else set()
 
 
+def layout(rows: int, bands: int) -> np.ndarray:
+    """The permutation behind each value of a signature, rows x bands: minima first, then maxima,
+    shifted so that both of a permutation fall into different bands."""
+    p = -(-rows * bands // 2)
+    shift = 1 if (p + 1) % bands else 2
+    return np.concatenate([np.arange(p), np.roll(np.arange(p), shift)])[: rows * bands].reshape(rows, bands)
+
+
 def signer(rows: int, bands: int, seed: int = 42):
     """A function from shingle hashes to the ``bands`` keys of their min-max signature and
     the last two bits of each of its values, as two planes of packed longs."""
     rng = np.random.default_rng(seed)
-    p = -(-rows * bands // 2)
+    p, high_of = -(-rows * bands // 2), layout(rows, bands).ravel()[-(-rows * bands // 2) :]
     xor, mul = rng.integers(0, 2**63, p, np.uint64), rng.integers(0, 2**62, p, np.uint64) * _U(2) + _U(1)
     weight, salt = rng.integers(0, 2**62, rows, np.uint64) * _U(2) + _U(1), rng.integers(0, 2**63, bands, np.uint64)
 
@@ -82,8 +91,8 @@ def signer(rows: int, bands: int, seed: int = 42):
         for at in range(0, len(u), 2048):  # memory stays bounded for any length
             h = (u[at : at + 2048, None] ^ xor) * mul
             low, high = np.minimum(low, h.min(0)), np.maximum(high, h.max(0))
-        flat = mix(np.concatenate([low, ~high]))[: rows * bands]
-        values = flat.reshape(rows, bands)  # min and max of a permutation meet in different bands
+        flat = mix(np.concatenate([low, ~high[high_of]]))
+        values = flat.reshape(rows, bands)
         planes = np.zeros((2, -(-len(flat) // 64) * 64), np.uint8)
         planes[0, : len(flat)], planes[1, : len(flat)] = flat & _U(1), (flat >> _U(1)) & _U(1)
         keys = mix((values * weight[:, None]).sum(0, dtype=np.uint64) + salt).view(np.int64)
@@ -177,8 +186,9 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, row
     Null, empty or blank text: no shingles, linked with nothing, kept and first.
     Null doc_id: such a row takes part in links, but its id is never a component's while
     another is known; a component of null ids only has a null id, and its rows are kept.
-    Repeated rows: each is returned and kept alike; only one of them is first.
-    Empty table: no rows.
+    Repeated rows: each is returned and kept alike; only one of them is first. Ties: a similarity
+    equal to ``percent`` links; of equal doc_ids the first row stands. Very long texts: their whole
+    sets count, hashed in blocks. Empty table: no rows.
     """
     ship(docs.sparkSession)
     rows_in = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
@@ -192,7 +202,6 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, row
     member = cut(member.join(shared, "bucket").join(heads.select("cls", "n", "bits"), "cls"))
     texts = sketched.select("rid", F.col("row.text").cast("binary").alias("text")).join(member.select(F.col("cls").alias("rid")).distinct(), "rid", "left_semi")
     texts = written(texts.select(F.col("rid").alias("cls"), "text"), "zstd")
-    tidy(docs.sparkSession)
 
     def alike(x: str, y: str, values: int, half: int):
         """Whether so many values of two signatures agree as a link's do; the differing bits are
@@ -230,7 +239,6 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, row
             fine = texts.join(at.select(F.col("x.cls").alias("cls")).distinct(), "cls", "left_semi").select("cls", fine_udf(shingle)("text").alias("fine"))
             fine = cut(fine.join(heads.select("cls", "bands"), "cls").withColumnRenamed("cls", "own"))
             at = at.join(fine, F.col("x.cls") == F.col("own")).select("bucket", "comp", "most", F.struct("x.cls", "x.n", "bands", "fine").alias("x"))
-            tidy(docs.sparkSession)
             few = at.where(F.col("comp") != F.col("most")).select("bucket", F.col("x").alias("y"), F.col("comp").alias("cy"))
             # a pair meets in every bucket that both have, and from both sides: it counts in the least of them, from its smaller class
             once = ((F.col("comp") == F.col("most")) | (F.col("x.cls") < F.col("y.cls"))) & (F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("bucket"))
@@ -247,7 +255,6 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, row
             links = links.join(known, "a", "left").join(known.select(F.col("a").alias("b"), F.col("ra").alias("rb")), "b", "left")
             links = links.select(*_pair("ra", "rb", "a", "b"))
         found, before = links.count(), found if k else 0
-        tidy(docs.sparkSession)
         if found:
             new = components(links)
             if root is None:

@@ -151,6 +151,12 @@ def test_links_that_avoid_all_centres(spark):
     assert missed == []
 
 
+def test_no_band_has_both_ends_of_a_permutation():
+    for rows, bands in ((6, 48), (1, 16), (5, 20), (3, 7), (2, 3), (4, 9)):
+        perm = near_dedup.layout(rows, bands)
+        assert perm.shape == (rows, bands) and all(len(set(band)) == rows for band in perm.T.tolist())
+
+
 def test_minmax_signature_estimates_similarity():
     import numpy as np
 
