@@ -13,6 +13,43 @@ def entropy_of(b: bytes) -> float:
     return float(-(p * np.log2(p)).sum()) + 0.0
 
 
+def _layout(a: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Offsets, bytes and validity of a binary array."""
+    if not len(a):
+        return np.zeros(1, np.int32), np.empty(0, np.uint8), np.empty(0, bool)
+    offsets = np.frombuffer(a.buffers()[1], np.int32)[a.offset : a.offset + len(a) + 1]
+    data = np.empty(0, np.uint8) if a.buffers()[2] is None else np.frombuffer(a.buffers()[2], np.uint8)
+    return offsets, data, np.asarray(a.is_valid())
+
+
+def by_length(a: pa.Array):
+    """(rows, matrix of their bytes) for each length of a binary array's values; nulls in none."""
+    offsets, data, there = _layout(a)
+    size = np.diff(offsets)
+    for n in np.unique(size[there]).tolist():
+        rows = np.flatnonzero(there & (size == n))
+        step = max(1, (1 << 24) // max(n, 1))  # bounded memory for any batch
+        for lo in range(0, len(rows), step):
+            some = rows[lo : lo + step]
+            yield some, data[offsets[some][:, None] + np.arange(n)]
+
+
+def entropies(m: np.ndarray) -> np.ndarray:
+    """Shannon entropy of each row of a byte matrix."""
+    out, n = np.zeros(len(m)), max(1, m.shape[1])
+    for lo in range(0, len(m), 4096):
+        part = m[lo : lo + 4096]
+        count = np.bincount((np.arange(len(part))[:, None] * 256 + part).ravel(), minlength=256 * len(part)).reshape(-1, 256) / n
+        out[lo : lo + len(part)] = -(count * np.log2(np.where(count > 0, count, 1.0))).sum(1) + 0.0
+    return out
+
+
+def words64(m: np.ndarray) -> np.ndarray:
+    """A byte matrix as 64-bit words, rows padded with zeros."""
+    pad = -m.shape[1] % 8
+    return np.ascontiguousarray(np.pad(m, ((0, 0), (0, pad))) if pad else m).view(np.uint64)
+
+
 def hamming(a: bytes, b: bytes) -> int:
     """Differing bits, and 8 for each byte that only one has."""
     n = min(len(a), len(b))
@@ -206,9 +243,42 @@ def xxh64(b: bytes) -> int:
     return _signed(xxhash.xxh64_intdigest(b))
 
 
-shannon_entropy = scalar(entropy_of, pa.float64(), "double")
-hamming_bits = scalar(hamming, pa.int64(), "long")
-xor_bytes = scalar(xor, pa.binary(), "binary")
+def shannon_entropy(column):
+    """Bits a byte, of all rows of a length at once; null for null."""
+
+    def of(a: pa.Array) -> pa.Array:
+        out = np.full(len(a), np.nan)
+        for rows, m in by_length(a):
+            out[rows] = entropies(m)
+        return pa.array(out, pa.float64(), mask=np.asarray(a.is_null()))
+
+    return F.arrow_udf(of, "double")(column)
+
+
+def _paired(f, kind: pa.DataType, name: str, slow):
+    """An Arrow UDF of two binary columns: rows of equal lengths at once by ``f``, others by ``slow``."""
+
+    def of(a: pa.Array, b: pa.Array) -> pa.Array:
+        out: list = [None] * len(a)
+        (at, x, there), (bt, y, also) = _layout(a), _layout(b)
+        both, size = there & also, np.diff(at)
+        alike = both & (size == np.diff(bt))
+        for n in np.unique(size[alike]).tolist():
+            rows = np.flatnonzero(alike & (size == n))
+            step = max(1, (1 << 24) // max(n, 1))
+            for lo in range(0, len(rows), step):
+                some = rows[lo : lo + step]
+                for r, v in zip(some.tolist(), f(x[at[some][:, None] + np.arange(n)], y[bt[some][:, None] + np.arange(n)])):
+                    out[r] = v
+        for r in np.flatnonzero(both & ~alike).tolist():
+            out[r] = slow(a[r].as_py(), b[r].as_py())
+        return pa.array(out, kind)
+
+    return lambda x, y: F.arrow_udf(of, name)(x, y)
+
+
+hamming_bits = _paired(lambda x, y: np.bitwise_count(words64(x) ^ words64(y)).sum(1, dtype=np.int64).tolist(), pa.int64(), "long", hamming)
+xor_bytes = _paired(lambda x, y: [r.tobytes() for r in x ^ y], pa.binary(), "binary", xor)
 diff_bytes = scalar(edit_script, pa.binary(), "binary")
 patch_bytes = scalar(apply_script, pa.binary(), "binary")
 find_polynomial = scalar(polynomial_seed, pa.int64(), "long")

@@ -24,6 +24,11 @@ class PackOptions:
     patch_similarity: float = 0.80
     patch_noise: float = 0.95
     method: str = "lsh"
+    stop: float = 0.05  # share of differing bits at which no further codebook is asked
+
+
+def digest() -> list:
+    return [F.xxhash64("data").alias("d1"), F.xxhash64(F.lit(1), F.col("data")).alias("d2")]
 
 
 def route(chunks: DataFrame, books, options: PackOptions = PackOptions()) -> DataFrame:
@@ -33,14 +38,9 @@ def route(chunks: DataFrame, books, options: PackOptions = PackOptions()) -> Dat
     """
     ship(chunks.sparkSession)
     o = options
-    distinct = chunks.select("data").distinct()
-    known = distinct.withColumn("entropy", arrow.shannon_entropy("data")).withColumn("seed", arrow.find_polynomial(F.when(F.col("entropy") <= 3.0, F.col("data"))))
-    known = search.nearest_codeword(known, books, o.method).select("data", "entropy", "seed", "match.*")
-    book = None
-    for k, b in enumerate(books if isinstance(books, list) else [books]):
-        part = b.select(F.lit(k).alias("codebook_index"), "codebook_id", "pattern")
-        book = part if book is None else book.unionByName(part)
-    known = known.join(book, ["codebook_index", "codebook_id"], "left")
+    known = chunks.select("data").distinct().select("data", *digest())
+    known = known.withColumn("entropy", arrow.shannon_entropy("data")).withColumn("seed", arrow.find_polynomial(F.when(F.col("entropy") <= 3.0, F.col("data"))))
+    known = search.nearest_codeword(known, books, o.method, o.stop).select("d1", "d2", "data", "entropy", "seed", "match.*")
     known = known.withColumn("similarity", native.similarity(F.col("distance"), F.octet_length("data")))
     noisy = native.bypasses(F.col("data"), F.col("entropy"))
     if o.mode == "stream":
@@ -63,11 +63,12 @@ def route(chunks: DataFrame, books, options: PackOptions = PackOptions()) -> Dat
     residual = F.when(F.col("encoding") == "literal", F.col("data")).when(F.col("encoding") == "patch", F.col("p")).when(F.col("encoding") == "xor", nothing if o.mode == "edge" else F.col("x")).otherwise(nothing)
     used = F.col("encoding").isin("xor", "patch")
     known = known.select(
-        "data", "encoding", "entropy", F.when(F.col("encoding") == "literal", F.lit(0.0)).when(F.col("encoding") == "fractal", F.lit(1.0)).otherwise(F.col("similarity")).alias("similarity"),
+        "d1", "d2", "encoding", "entropy", F.when(F.col("encoding") == "literal", F.lit(0.0)).when(F.col("encoding") == "fractal", F.lit(1.0)).otherwise(F.col("similarity")).alias("similarity"),
         F.when(used, F.col("codebook_index")).alias("codebook_index"), F.when(used, F.col("codebook_id")).when(F.col("encoding") == "fractal", F.col("seed")).alias("codebook_id"),
         F.when(used, F.col("distance")).alias("distance"), residual.alias("residual"),
     )
-    return chunks.join(known, "data").withColumn("delta_size", F.octet_length("residual"))
+    # joined by 16 bytes; where one chunk (zeros, blanks) is very common, AQE splits its sort-merge partition
+    return chunks.select("*", *digest()).join(known, ["d1", "d2"]).drop("d1", "d2").withColumn("delta_size", F.octet_length("residual"))
 
 
 def offsets(entries: DataFrame, key: str = "object_id") -> DataFrame:

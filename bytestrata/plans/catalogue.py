@@ -276,7 +276,7 @@ def unique_patterns(spark, d):
 
 def _book(spark, d, where=None, most=256, per=4, n=128):
     o = objects(spark, d, "documents", "doc_id", "text", "lang", "source")
-    return codebook.train(chunking.fixed(o if where is None else o.where(where), n), n, most, per)
+    return search.kept(codebook.train(chunking.fixed(o if where is None else o.where(where), n), n, most, per))
 
 
 @query(f"{BASE} SELECT codebook_id, lower(hex(pattern)) AS pattern, bucket, count FROM book")
@@ -476,7 +476,7 @@ def edge_distortion(spark, d):
 
 @query("SELECT doc_id AS object_id, sha256(encode(text)) AS sha, TRUE AS same FROM documents WHERE octet_length(encode(text)) > 0")
 def unpack_roundtrip(spark, d):
-    e = packing.decode(_entries(spark, d, packing.PackOptions(chunk_size=8, literal_entropy=3.5), "object_id % 1 = 0"), _book(spark, d, n=8))
+    e = packing.decode(_entries(spark, d, packing.PackOptions(chunk_size=8, literal_entropy=3.5)), _book(spark, d, n=8))
     back = chunking.reassemble(e.select("object_id", "chunk_idx", F.col("decoded").alias("data")))
     o = objects(spark, d).select("object_id", F.sha2("content", 256).alias("want"))
     return back.select("object_id", F.sha2("content", 256).alias("sha")).join(o, "object_id").select("object_id", "sha", (F.col("sha") == F.col("want")).alias("same"))
