@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, words_sql, written
+from .common import cut, spread_join, words_sql, written
 
 ACCURACY = 10_000
 #: Least standard deviation of a coordinate: what clean texts may differ by in any case.
@@ -170,7 +170,7 @@ def fit(stats: DataFrame, *, least: int = 40, share: float = 0.75, tolerance: fl
     own = F.when(F.col("n0") >= least, F.col("g0")).when(F.col("n1") >= least, F.col("g1")).otherwise(F.col("g2"))
     chosen = written(groups.join(langs, "g1").select("g0", own.alias("gid")))
     rows = x.select(F.explode(F.array("g0", "g1", "g2")).alias("gid"), *[f"x{i}" for i in range(P)])
-    rows = written(rows.join(chosen.select("gid").distinct(), "gid", "left_semi"))
+    rows = written(spread_join(rows, written(chosen.select("gid").distinct()), ["gid"]))
     med = rows.groupBy("gid").agg(*[F.percentile_approx(f"x{i}", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), ACCURACY).alias(f"q{i}") for i in range(P)], *_moments())
     robust = med.select("gid", F.col("n").alias("all"), F.lit(0).alias("start"), *[F.col(f"q{i}")[1].alias(f"m{i}") for i in range(P)], *[(F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, 2) if i == j else F.lit(0.0)).alias(_upper(i, j)) for i, j in _CELLS])
     plain = _shape(med.withColumn("all", F.col("n")), 1.0).withColumn("start", F.lit(1)).select(*robust.columns)
@@ -178,9 +178,9 @@ def fit(stats: DataFrame, *, least: int = 40, share: float = 0.75, tolerance: fl
     now = _cholesky(robust.unionByName(plain)).withColumns({"logdet": F.lit(float("inf")), "done": F.lit(False)})
     now = written(now.select(*cols))
     while not now.where("not done").isEmpty():
-        d = rows.join(now.where("not done"), "gid").withColumn("d", _distance())
-        edge = d.groupBy("gid", "start").agg(F.percentile_approx("d", share, ACCURACY).alias("edge")).withColumnsRenamed({"gid": "eg", "start": "es"})
-        d = d.join(edge, (F.col("gid") == F.col("eg")) & (F.col("start") == F.col("es"))).where("d <= edge")
+        d = spread_join(rows, now.where("not done"), ["gid"]).withColumn("d", _distance())
+        edge = written(d.groupBy("gid", "start").agg(F.percentile_approx("d", share, ACCURACY).alias("edge")))
+        d = spread_join(d, edge, ["gid", "start"]).where("d <= edge")
         sums = d.groupBy("gid", "start", "all", (F.col("d") == F.col("edge")).alias("tie")).agg(*_moments())
         # the subset has ceil(share * all) rows: those below the edge, and of those on it what is missing
         sums = sums.groupBy("gid", "start", "all").agg(*[F.struct(F.coalesce(F.sum(F.when(~F.col("tie"), F.col(c))), F.lit(0.0)).alias("below"), F.coalesce(F.sum(F.when(F.col("tie"), F.col(c))), F.lit(0.0)).alias("on")).alias(c) for c in _SUMS])
@@ -198,8 +198,8 @@ def fit(stats: DataFrame, *, least: int = 40, share: float = 0.75, tolerance: fl
 def judged(rows: DataFrame, model: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """``rows`` with ``distance`` (null only where no row of the table has an estimate) and ``kept``."""
     cols = rows.columns
-    x = rows.select("*", _ids()[0], *[v.alias(f"x{i}") for i, v in enumerate(vector())]).join(model, "g0", "left")
-    x = x.withColumn("distance", _distance())
+    x = rows.select("*", _ids()[0], *[v.alias(f"x{i}") for i, v in enumerate(vector())])
+    x = spread_join(x, model, ["g0"], "left").withColumn("distance", _distance())
     return x.select(*cols, "distance", (~F.col("base_failed") & (F.col("distance").isNull() | (F.col("distance") <= cutoff))).alias("kept"))
 
 
