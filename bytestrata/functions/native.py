@@ -111,3 +111,40 @@ def convergent_encrypt(secret_hex: str, plain: Column) -> Column:
 
 def convergent_decrypt(secret_hex: str, sealed: Column, digest: Column) -> Column:
     return F.aes_decrypt(sealed, F.unhex(hmac_sha256(secret_hex, digest)), F.lit("GCM"))
+
+
+def derive_key(password: bytes, salt: bytes, rounds: int = 100_000) -> bytes:
+    """A 32-byte key by PBKDF2 with SHA-256, once on the driver."""
+    import hashlib
+
+    return hashlib.pbkdf2_hmac("sha256", password, salt, rounds, 32)
+
+
+def new_salt() -> bytes:
+    import os
+
+    return os.urandom(16)
+
+
+def one_line(text: Column) -> Column:
+    """Line ends as blanks."""
+    return F.translate(text, "\n", " ")
+
+
+def high_entropy(entropy: Column) -> Column:
+    """Too random for a search by bucket."""
+    return entropy > 7.5
+
+
+def is_model_file(data: Column) -> Column:
+    """Whether it begins with the signature of model weights."""
+    return F.hex(F.substring(data, 1, 4)) == "47475546"
+
+
+def entry_size(version: Column) -> Column:
+    """Bytes of a chunk entry in an archive of that version."""
+    return F.when(version > 6, 25).otherwise(24)
+
+
+def block_count(chunks: Column, per_block: int = 131_072) -> Column:
+    return F.ceil(chunks / per_block).cast("int")

@@ -74,8 +74,7 @@ def contextual(df: DataFrame, size: int = 128) -> DataFrame:
 
 def reassemble(chunks: DataFrame, key: str = "object_id") -> DataFrame:
     """``key`` and ``content``: its chunks in order."""
-    parts = F.array_sort(F.collect_list(F.struct("chunk_idx", F.hex("data").alias("h"))))
-    return chunks.groupBy(key).agg(F.unhex(F.array_join(F.transform(parts, lambda p: p["h"]), "")).alias("content"))
+    return chunks.groupBy(key).agg(F.expr("listagg(data) WITHIN GROUP (ORDER BY chunk_idx)").alias("content"))
 
 
 CHUNKERS = {"fixed": fixed, "fastcdc": fastcdc, "cdc": cdc, "delimited": delimited, "contextual": contextual}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import struct
 from dataclasses import dataclass, field
 
@@ -109,3 +110,89 @@ def parse_mutation(data: bytes) -> tuple[int, int]:
 
 def write_mutation(timestamp: int, size: int) -> bytes:
     return struct.pack("<4sqI", MUTATION_MAGIC, timestamp, size)
+
+
+# ---- codebooks ----
+# The codebook header's magic and sizes, and the chunk indexes that stand for no codebook.
+CODEBOOK_MAGIC, CODEBOOK_HEADER = b"CROMDB", 512
+LITERAL_INDEX, MICRO_INDEX, FRACTAL_INDEX = 255, 254, 253
+CHUNKS_PER_BLOCK = 131_072
+
+
+def write_codebook(patterns: list[bytes]) -> bytes:
+    """A codebook file of patterns in the order of their ids; ValueError for none or unequal lengths."""
+    if not patterns or len({len(p) for p in patterns}) > 1 or not patterns[0]:
+        raise ValueError("a codebook needs patterns of one length")
+    data = b"".join(patterns)
+    head = struct.pack("<6sHHQQ32s", CODEBOOK_MAGIC, 1, len(patterns[0]), len(patterns), CODEBOOK_HEADER, hashlib.sha256(data).digest())
+    return head.ljust(CODEBOOK_HEADER, b"\0") + data
+
+
+def parse_codebook(data: bytes, verify: bool = True) -> tuple[bytes, list[bytes]]:
+    """Build hash and patterns; ValueError for a wrong header, a truncated file or, on ``verify``, another hash."""
+    if len(data) < CODEBOOK_HEADER:
+        raise ValueError(f"a codebook header needs {CODEBOOK_HEADER} bytes, not {len(data)}")
+    magic, version, size, count, start, digest = struct.unpack_from("<6sHHQQ32s", data)
+    if magic != CODEBOOK_MAGIC or version != 1:
+        raise ValueError(f"not a codebook of version 1: {magic!r}, {version}")
+    if not size or start < CODEBOOK_HEADER or len(data) < start + size * count:
+        raise ValueError(f"{count} codewords of {size} bytes from {start} do not fit into {len(data)} bytes")
+    body = data[start : start + size * count]
+    if verify and hashlib.sha256(body).digest() != digest:
+        raise ValueError("the codebook's hash is another")
+    return digest, [body[i : i + size] for i in range(0, len(body), size)]
+
+
+# ---- manifests ----
+_MANIFEST, _MANIFEST_ENTRY = struct.Struct("<H32sQI"), np.dtype([("codebook_id", "<u8"), ("delta_hash", "<u8"), ("chunk_size", "<u4")])
+
+
+def write_manifest(digest: bytes, size: int, entries: np.ndarray) -> bytes:
+    """Binary manifest of entries (``codebook_id``, ``delta_hash``, ``chunk_size``)."""
+    return _MANIFEST.pack(1, digest, size, len(entries)) + np.asarray(entries, _MANIFEST_ENTRY).tobytes()
+
+
+def parse_manifest(data: bytes) -> tuple[int, bytes, int, np.ndarray]:
+    """Version, hash and size of the original, and entries; ValueError where it is truncated."""
+    if len(data) < _MANIFEST.size:
+        raise ValueError(f"a manifest needs {_MANIFEST.size} bytes, not {len(data)}")
+    version, digest, size, count = _MANIFEST.unpack_from(data)
+    if len(data) < _MANIFEST.size + count * _MANIFEST_ENTRY.itemsize:
+        raise ValueError(f"{count} manifest entries are truncated")
+    return version, digest, size, np.frombuffer(data, _MANIFEST_ENTRY, count, _MANIFEST.size)
+
+
+# ---- whole archives ----
+def merkle(leaves: list[bytes]) -> bytes:
+    """Root of a Merkle tree: an odd level repeats its last node, a single leaf is hashed with itself."""
+    level = [hashlib.sha256(x + y).digest() for x, y in zip(leaves[::2], [*leaves[1::2], leaves[-1]])]
+    return merkle(level) if len(level) > 1 else level[0]
+
+
+def write_archive(header: Header, table: bytes, blocks: list[bytes]) -> bytes:
+    """Header, sizes of the blocks, chunk table, blocks."""
+    return write_header(header) + np.array([len(b) for b in blocks], "<u4").tobytes() + table + b"".join(blocks)
+
+
+def parse_archive(data: bytes) -> tuple[Header, np.ndarray, list[tuple[int, int]], bytes]:
+    """Header, chunk table, (offset, size) of each block, and the content of a passthrough archive.
+
+    A header without chunks is a passthrough. ValueError for a truncated table or block.
+    """
+    h = parse_header(data)
+    at = header_size(h.version) + len(h.dictionary)
+    if h.passthrough or not h.chunk_count:
+        return h, np.empty(0, _entry(h.version)), [], data[at:]
+    if h.encrypted:
+        raise ValueError("the chunk table is encrypted")
+    count = -(-h.chunk_count // CHUNKS_PER_BLOCK) if h.version > 1 else 0
+    if len(data) < at + 4 * count:
+        raise ValueError("the block table is truncated")
+    sizes = np.frombuffer(data, "<u4", count, at).astype(np.int64)
+    at += 4 * count
+    table = parse_chunk_table(data[at:], h.chunk_count, h.version)
+    at += table.nbytes
+    ends = at + np.cumsum(sizes)
+    if count and ends[-1] > len(data):
+        raise ValueError("a block is truncated")
+    return h, table, list(zip((ends - sizes).tolist(), sizes.tolist())), b""

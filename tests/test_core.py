@@ -277,3 +277,97 @@ def test_multipass_weighs_restricts_and_matches_again(spark, tmp_path):
     assert {r.data: r.n for r in QUERIES["match_multipass_restricted"](spark, str(tmp_path)).collect()} == want
     few = spark.createDataFrame([((0, 5, 3), 1), ((0, 4, 3), 9), ((0, 5, 3), 1)], f"match {search.MATCH}, n long")
     assert [(r.codebook_id, r.used) for r in search.most_used(few, 1, "n").collect()] == [(4, 9)]
+
+
+# ---- stored formats ----
+def test_codebook_file_round_trip_and_errors(spark, tmp_path):
+    from bytestrata.operators import archives
+    from bytestrata.sources import archive
+
+    patterns = [bytes([i]) * 8 for i in range(5)]
+    data = archive.write_codebook(patterns)
+    assert len(data) == 512 + 40 and archive.parse_codebook(data)[1] == patterns
+    archives.write_file(spark, f"{tmp_path}/b.cromdb", data)
+    book = archives.read_codebook(spark, f"{tmp_path}/b.cromdb")
+    assert [(r.codebook_id, r.pattern) for r in book.orderBy("codebook_id").collect()] == list(enumerate(map(bytearray, patterns)))
+    assert archives.codebook_bytes(book) == data and archives.swap(book, book) is book
+    other = archives.codebook_of(spark, archive.write_codebook(patterns[::-1]))
+    assert archives.swap(book, other) is other
+    for bad in (b"", data[:300], b"X" + data[1:], data[:6] + b"\2\0" + data[8:], data[:8] + b"\0\0" + data[10:], data[:-1], data[:18] + bytes(8) + data[26:], data[:-1] + b"x"):
+        with pytest.raises(ValueError):
+            archive.parse_codebook(bad)
+    for bad in ([], [b"a", b"bc"], [b""]):
+        with pytest.raises(ValueError):
+            archive.write_codebook(bad)
+
+
+@pytest.mark.parametrize("mode", ["archive", "stream", "bytes"])
+def test_archives_store_and_come_back(spark, mode):
+    import random
+
+    from bytestrata.operators import archives, codebook, packing
+    from bytestrata.sources import archive
+
+    rng = random.Random(3)
+    words = [bytes(rng.randrange(97, 101) for _ in range(64)) for _ in range(40)]
+    objects = {i: b"".join(rng.choice(words) for _ in range(rng.randint(5, 50))) + b"tail"[: i % 5] for i in range(12)}
+    objects |= {20: b"", 21: b"short", 22: bytes(1000), 23: rng.randbytes(3000), 24: b"\x1f\x8b" + rng.randbytes(500), 25: bytes(range(256)) * 4, 26: None}
+    df = spark.createDataFrame([(i, b) for i, b in objects.items()], "object_id long, content binary")
+    from bytestrata.operators import chunking
+
+    book = codebook.train(chunking.fixed(df.where("object_id < 12"), 64), 64, 64, 8)
+    packed = archives.pack(df, book, packing.PackOptions(mode=mode, chunk_size=64)).cache()
+    got = {r.object_id: r for r in packed.collect()}
+    assert set(got) == set(objects) and all(got[i].passthrough for i in (20, 21, 22, 24, 26))
+    assert all(r.packed <= r.original + archive.V8_SIZE for r in got.values())
+    assert any(not got[i].passthrough for i in range(12))
+    back = {r.object_id: bytes(r.content) for r in archives.unpack(packed, book).collect()}
+    assert back == {i: b or b"" for i, b in objects.items()}
+    meta = {r.object_id: r for r in archives.metadata(packed.unionByName(packed.limit(1).selectExpr("cast(99 as bigint) as object_id", "cast('xx' as binary) as archive", "passthrough", "original", "packed"))).collect()}
+    assert meta[99].error and all(meta[i].original_size == len(b or b"") and not meta[i].error for i, b in objects.items())
+    places = archives.block_offsets(packed).collect()
+    assert {r.object_id for r in places} == {i for i, r in got.items() if not r.passthrough}
+    assert all(r.offset + r["size"] == got[r.object_id].packed for r in places)
+    assert all(0 <= r.randomness <= 100 for r in archives.pool_entropy(packed).collect())
+    whole = next(bytes(r.archive) for r in got.values() if not r.passthrough)
+    for n in (60, 141, 200, len(whole) - 1):
+        with pytest.raises(ValueError):
+            archive.parse_archive(whole[:n])
+
+
+def test_manifests_in_both_forms(spark):
+    from bytestrata.operators import integrity
+    from bytestrata.sources import archive
+
+    entries = spark.createDataFrame([(1, 1, 7, 2**62, 128), (1, 0, -1, -5, 64), (2, 0, 3, 9, 1)], "object_id long, chunk_idx int, codebook_id long, delta_hash long, chunk_size int")
+    objects = spark.createDataFrame([(1, b"abc"), (2, b"")], "object_id long, content binary")
+    binary = integrity.manifest_binary(entries, objects)
+    assert {r.object_id: len(r.manifest) for r in binary.collect()} == {1: 46 + 40, 2: 46 + 20}
+    back = integrity.manifest_from_binary(binary)
+    assert sorted(map(tuple, back.drop("original_size").collect())) == sorted(map(tuple, entries.collect()))
+    text = entries.withColumn("delta_hash", entries.delta_hash.cast("string"))
+    assert sorted(map(tuple, integrity.manifest_from_json(integrity.manifest_json(text)).collect())) == sorted(map(tuple, text.collect()))
+    for bad in (b"", bytes(binary.first().manifest)[:-1]):
+        with pytest.raises(ValueError):
+            archive.parse_manifest(bad)
+
+
+def test_brain_map_from_folder(spark, tmp_path):
+    from bytestrata.operators import integrity
+
+    for name in ("brain_LOGS.cromdb", "a_sql.cromdb", "b_sql.cromdb", "my_img.cromdb", "other.txt", "brain_universal.cromdb"):
+        (tmp_path / name).write_bytes(b"x")
+    (tmp_path / "brains.json").write_text('{"text_code": "code.cromdb", "raw_image": "given.cromdb"}')
+    got = {r.category: r.brain for r in integrity.read_brain_map(spark, str(tmp_path)).collect()}
+    assert got == {"text_logs": "brain_LOGS.cromdb", "text_sql": "a_sql.cromdb", "raw_image": "given.cromdb", "text_code": "code.cromdb", "universal": "brain_universal.cromdb"}
+
+
+def test_keys_and_small_functions(spark):
+    from pyspark.sql import functions as F
+
+    from bytestrata.functions import native
+
+    assert native.derive_key(b"password", b"salt", 1).hex() == "120fb6cffcf8b32c43e7225256c4f837a86548c92ccc35480805987cb70be17b"
+    assert len(native.new_salt()) == 16 and native.new_salt() != native.new_salt()
+    row = spark.range(1).select(native.one_line(F.lit("a\nb")), native.entry_size(F.lit(6)), native.entry_size(F.lit(7)), native.block_count(F.lit(131_073)), native.is_model_file(F.lit(b"GGUFx"))).first()
+    assert tuple(row) == ("a b", 24, 25, 2, True)
