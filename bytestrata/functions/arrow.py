@@ -135,8 +135,7 @@ def polynomial_seed(b: bytes) -> int | None:
     return a | d << 8 | c << 16 if np.array_equal((a * x * x + d * x + c) % 256, v) else None
 
 
-def fnv1a(b: bytes) -> int:
-    h = 0xCBF29CE484222325
+def fnv1a(b: bytes, h: int = 0xCBF29CE484222325) -> int:
     for x in b:
         h = ((h ^ x) * 0x100000001B3) & 0xFFFFFFFFFFFFFFFF
     return h
@@ -282,7 +281,32 @@ xor_bytes = _paired(lambda x, y: [r.tobytes() for r in x ^ y], pa.binary(), "bin
 diff_bytes = scalar(edit_script, pa.binary(), "binary")
 patch_bytes = scalar(apply_script, pa.binary(), "binary")
 find_polynomial = scalar(polynomial_seed, pa.int64(), "long")
-fnv1a_64 = scalar(lambda b: _signed(fnv1a(b)), pa.int64(), "long")
+
+
+def fnv1a_64(column):
+    """FNV-1a of each value; a place of all values at once as long as many are that long."""
+
+    def of(a: pa.Array) -> pa.Array:
+        offsets, data, there = _layout(a)
+        start, size = offsets[:-1].astype(np.int64), np.diff(offsets).astype(np.int64)
+        order = np.argsort(-size, kind="stable")
+        h, live, k = np.full(len(a), 0xCBF29CE484222325, np.uint64), len(a), 0
+        size = size[order]
+        while live and size[live - 1] <= k:
+            live -= 1
+        while live >= 64:
+            rows = order[:live]
+            h[rows] = (h[rows] ^ data[start[rows] + k]) * np.uint64(0x100000001B3)
+            k += 1
+            while live and size[live - 1] <= k:
+                live -= 1
+        for r, n in zip(order[:live].tolist(), size[:live].tolist()):
+            h[r] = fnv1a(data[start[r] + k : start[r] + n].tobytes(), int(h[r]))
+        return pa.array(h.view(np.int64), pa.int64(), mask=~there)
+
+    return F.arrow_udf(of, "long")(column)
+
+
 xxh64_seed0 = scalar(xxh64, pa.int64(), "long")
 zstd_compress = scalar(compress, pa.binary(), "binary")
 zstd_decompress = scalar(decompress, pa.binary(), "binary")

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,34 +81,49 @@ def pair_counts(objects: DataFrame) -> DataFrame:
     return out.groupBy(F.conv(F.substring("p", 1, 2), 16, 10).cast("int").alias("a"), F.conv(F.substring("p", 3, 2), 16, 10).cast("int").alias("b")).agg(F.count("*").alias("count"))
 
 
-def bpe(objects: DataFrame, vocabulary: int = 300, longest: int = 128, segments: int = 200_000) -> list[tuple[int, bytes, int]]:
+def bpe(objects: DataFrame, vocabulary: int = 300, longest: int = 128, most_bytes: int = 50 << 20) -> list[tuple[int, bytes, int]]:
     """(token id, bytes, frequency) of a byte-pair vocabulary, 256 bytes first.
 
-    Merges work on the table of distinct words with their counts, not on the corpus: the
-    ``segments`` most frequent ones come to the driver. Each round merges the most frequent
-    pair, ties by its bytes, until no pair occurs twice or the vocabulary is full.
+    The corpus of a vocabulary is bounded: whole objects in order of their ids, to ``most_bytes``;
+    it comes to the driver as one array of tokens. Each round merges the most frequent pair of
+    neighbours within an object (overlaps counted, ties by bytes) from left to right, until no
+    pair occurs twice or the vocabulary is full. Tokens have at most ``longest`` bytes.
     """
-    words = F.explode(F.expr(r"regexp_extract_all(decode(content, 'ISO-8859-1'), '[^ \n]+[ \n]?|[ \n]', 0)"))
-    top = objects.select(words.alias("w")).groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(segments).collect()
-    table = [([bytes([x]) for x in r["w"].encode("latin-1")], r["n"]) for r in top]
+    w = Window.orderBy("object_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sizes = objects.select("object_id", F.octet_length("content").cast("long").alias("n")).where("n > 0")
+    # objects are shorter than the corpus: one that begins within it is among its ``most_bytes`` smallest ids
+    some = sizes.orderBy("object_id").limit(most_bytes).withColumn("end", F.sum("n").over(w)).where(F.col("end") <= most_bytes).select("object_id")
+    parts = objects.join(some, "object_id", "left_semi").orderBy("object_id").select("content").toLocalIterator()
+    stream = [x for r in parts for x in (np.frombuffer(r["content"], np.uint8).astype(np.int32), np.array([-1], np.int32))]
+    tokens = np.concatenate(stream) if stream else np.empty(0, np.int32)
     out = [(i, bytes([i]), 0) for i in range(256)]
     while len(out) < vocabulary:
-        pairs: Counter = Counter()
-        for tokens, n in table:
-            for pair in zip(tokens, tokens[1:]):
-                if len(pair[0]) + len(pair[1]) <= longest:
-                    pairs[pair] += n
-        if not pairs:
-            break
-        best, n = min(pairs.items(), key=lambda x: (-x[1], x[0]))
-        if n < 2:
+        size = np.array([len(b) for _, b, _ in out])
+        pairs = (tokens[:-1] >= 0) & (tokens[1:] >= 0)
+        pairs &= size[tokens[:-1]] + size[tokens[1:]] <= longest
+        keys, counts = np.unique(tokens[:-1][pairs].astype(np.int64) * len(out) + tokens[1:][pairs], return_counts=True)
+        if not len(keys) or counts.max() < 2:
             break
-        joined = best[0] + best[1]
-        out.append((len(out), joined, n))
-        for tokens, _ in table:
-            i = 0
-            while i + 1 < len(tokens):
-                if (tokens[i], tokens[i + 1]) == best:
-                    tokens[i : i + 2] = [joined]
-                i += 1
+        best = keys[counts == counts.max()]
+        a, b = min(((int(k) // len(out), int(k) % len(out)) for k in best), key=lambda p: (out[p[0]][1], out[p[1]][1]))
+        at = np.flatnonzero((tokens[:-1] == a) & (tokens[1:] == b))
+        if a == b:  # a run of one token merges by twos from its left
+            first = np.concatenate([[True], np.diff(at) > 1])
+            at = at[(at - np.maximum.accumulate(np.where(first, at, 0))) % 2 == 0]
+        tokens[at] = len(out)
+        tokens = np.delete(tokens, at + 1)
+        out.append((len(out), out[a][1] + out[b][1], int(counts.max())))
     return out
+
+
+def overlap(base: DataFrame, table: DataFrame) -> DataFrame:
+    """How many patterns of a codebook occur in frequencies: ``present``, ``patterns``."""
+    return base.join(table.select(F.col("data").alias("pattern"), F.lit(1).alias("there")), "pattern", "left").agg(F.count("there").alias("present"), F.count("*").alias("patterns"))
+
+
+def counters(chunks: DataFrame, book: DataFrame, size: int = 128) -> DataFrame:
+    """What a training saw and chose: ``bytes``, ``chunks``, ``full_chunks``, ``unique_patterns``, ``codewords``."""
+    seen = chunks.groupBy("data").agg(F.count("*").alias("n"), F.first("size").alias("size"))
+    full = F.col("size") == size
+    seen = seen.agg(F.sum(F.col("n") * F.col("size")).alias("bytes"), F.sum("n").alias("chunks"), F.sum(F.when(full, F.col("n")).otherwise(0)).alias("full_chunks"), F.sum(full.cast("long")).alias("unique_patterns"))
+    return seen.join(F.broadcast(book.agg(F.count("*").alias("codewords"))))

@@ -97,13 +97,14 @@ GEAR_SQL = "g(v, h) AS (VALUES " + ", ".join(f"({i}, {int(x) & 127})" for i, x i
 
 def _greedy_sql(candidates: str, least: int, most: int) -> str:
     """A recursive walk over cut candidates: the first at least ``least`` after the last cut, at most ``most`` after it."""
-    return f"""WITH RECURSIVE {{lits}} o AS (SELECT item_id AS object_id, hex(encode(text)) AS h, octet_length(encode(text)) AS n FROM benchmark),
+    return f"""WITH RECURSIVE {{lits}} o AS (SELECT doc_id AS object_id, hex(encode(text)) AS h, octet_length(encode(text)) AS n FROM documents),
 bt AS (SELECT object_id, n, i, CAST('0x' || substr(h, 2 * i + 1, 2) AS INTEGER) AS v FROM (SELECT *, unnest(range(n)) AS i FROM o)),
 cand AS ({candidates}),
+cl AS (SELECT object_id, list(e ORDER BY e) AS es FROM cand GROUP BY object_id),
 walk AS (
-  SELECT object_id, n, CAST(0 AS BIGINT) AS pos FROM o
+  SELECT object_id, n, CAST(0 AS BIGINT) AS pos, coalesce(es, []) AS es FROM o LEFT JOIN cl USING (object_id)
   UNION ALL
-  SELECT w.object_id, w.n, CAST(least(w.n, w.pos + {most}, coalesce((SELECT min(c.e) FROM cand c WHERE c.object_id = w.object_id AND c.e >= w.pos + {least}), w.n)) AS BIGINT) FROM walk w WHERE w.pos < w.n)
+  SELECT object_id, n, CAST(least(n, pos + {most}, coalesce(list_filter(es, lambda e: e >= pos + {least})[1], n)) AS BIGINT), list_filter(es, lambda e: e >= pos + {least}) FROM walk WHERE pos < n)
 SELECT * FROM (SELECT object_id, CAST(row_number() OVER (PARTITION BY object_id ORDER BY pos) - 1 AS INTEGER) AS chunk_idx,
   CAST(pos - lag(pos) OVER (PARTITION BY object_id ORDER BY pos) AS INTEGER) AS size FROM walk) WHERE size IS NOT NULL"""
 
@@ -116,21 +117,11 @@ CDC_SQL = _greedy_sql(f"SELECT object_id, i + 1 AS e FROM (SELECT object_id, i,
 
 @query(FASTCDC_SQL)
 def chunk_fastcdc(spark, d):
-    return chunking.fastcdc(objects(spark, d, "benchmark", "item_id"), 64).select("object_id", (F.col("chunk_idx") + 1).alias("chunk_idx"), "size")
+    return chunking.fastcdc(objects(spark, d), 64).select("object_id", (F.col("chunk_idx") + 1).alias("chunk_idx"), "size")
 
 
 @query(CDC_SQL)
 def chunk_cdc(spark, d):
-    return chunking.cdc(objects(spark, d, "benchmark", "item_id"), 64).select("object_id", (F.col("chunk_idx") + 1).alias("chunk_idx"), "size")
-
-
-@query()
-def chunk_fastcdc_documents(spark, d):
-    return chunking.fastcdc(objects(spark, d), 64).select("object_id", (F.col("chunk_idx") + 1).alias("chunk_idx"), "size")
-
-
-@query()
-def chunk_cdc_documents(spark, d):
     return chunking.cdc(objects(spark, d), 64).select("object_id", (F.col("chunk_idx") + 1).alias("chunk_idx"), "size")
 
 
@@ -213,21 +204,17 @@ def content_type(spark, d):
     return o.select("object_id", native.content_type(F.col("content")).alias("type"))
 
 
-@query(r"""WITH o AS (SELECT doc_id AS object_id, text AS t, CAST(octet_length(encode(text)) AS DOUBLE) AS n FROM documents WHERE octet_length(encode(text)) BETWEEN 1 AND 8192),
+HEAD_SQL = "coalesce(" + ", ".join(f"try(decode(array_slice(encode(text), 1, {n})))" for n in range(8192, 8188, -1)) + ")"
+
+
+@query(rf"""WITH o AS (SELECT doc_id AS object_id, {HEAD_SQL} AS t, CAST(least(8192, octet_length(encode(text))) AS DOUBLE) AS n FROM documents),
 f AS (SELECT *, contains(t, '<svg') OR contains(upper(t), 'XML') AS svg,
   contains(upper(t), 'SELECT ') OR contains(upper(t), 'INSERT INTO ') OR contains(upper(t), 'CREATE TABLE ') AS sq,
   contains(t, 'func ') OR contains(t, 'class ') OR contains(t, 'def ') OR contains(t, 'package ') OR contains(t, 'import ') OR contains(t, 'function ') AS code,
   length(regexp_replace(t, '[^\x20-\x7e\n\r\t]', '', 'g')) / n > 0.85 AS plain FROM o)
-SELECT object_id, CASE WHEN svg THEN 'raw_image' WHEN sq THEN 'text_sql' WHEN code THEN 'text_code' WHEN plain THEN 'text_logs' ELSE 'binary' END AS category,
-  CASE WHEN svg THEN 'svg' WHEN sq THEN 'sql' WHEN code THEN 'code' WHEN plain THEN 'text' ELSE 'unknown' END AS hint FROM f""")
+SELECT object_id, CASE WHEN n = 0 THEN 'empty' WHEN svg THEN 'raw_image' WHEN sq THEN 'text_sql' WHEN code THEN 'text_code' WHEN plain THEN 'text_logs' ELSE 'binary' END AS category,
+  CASE WHEN n = 0 THEN 'none' WHEN svg THEN 'svg' WHEN sq THEN 'sql' WHEN code THEN 'code' WHEN plain THEN 'text' ELSE 'unknown' END AS hint FROM f""")
 def detect_category(spark, d):
-    o = objects(spark, d).where(F.octet_length("content").between(1, 8192))
-    c, h, _ = native.category(F.col("content"), arrow.shannon_entropy("content"))
-    return o.select("object_id", c.alias("category"), h.alias("hint"))
-
-
-@query()
-def detect_category_head(spark, d):
     """The category of every document by its first 8 KiB."""
     o = objects(spark, d).withColumn("content", F.substring("content", 1, 8192))
     c, h, _ = native.category(F.col("content"), arrow.shannon_entropy("content"))
@@ -239,6 +226,13 @@ def sha256_objects(spark, d):
     return objects(spark, d).select("object_id", F.sha2("content", 256).alias("sha256"))
 
 
+@query("""SELECT doc_id AS object_id, CAST(CASE WHEN h >= 9223372036854775808::HUGEINT THEN h - 18446744073709551616::HUGEINT ELSE h END AS BIGINT) AS fnv1a FROM (
+  SELECT doc_id, list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(range(octet_length(b)), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS HUGEINT))), lambda h, v: (xor(h, v) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT) AS h
+  FROM (SELECT doc_id, encode(text) AS b, hex(encode(text)) AS x FROM documents))""")
+def fnv1a_objects(spark, d):
+    return objects(spark, d).select("object_id", arrow.fnv1a_64("content").alias("fnv1a"))
+
+
 @query()
 def hash_suite(spark, d):
     return objects(spark, d).select("object_id", arrow.fnv1a_64("content").alias("fnv1a"), arrow.xxh64_seed0("content").alias("xxh64"), F.sha2("content", 256).alias("sha256"))
@@ -326,19 +320,13 @@ def bpe_pair_counts(spark, d):
 
 @query()
 def bpe_vocab(spark, d):
-    rows = codebook.bpe(objects(spark, d, "benchmark", "item_id"), 320)
+    rows = codebook.bpe(objects(spark, d), 320)
     return spark.createDataFrame([(i, b.hex(), n) for i, b, n in rows], "token_id int, bytes string, freq long")
 
 
 # ---- matching ----
-@query(f"{BASE}, c AS (SELECT DISTINCT data FROM ch WHERE octet_length(data) = 128 AND object_id % 20 = 0), m AS (SELECT c.data, b.codebook_id, {HAMMING} AS distance FROM c, book b) SELECT lower(hex(data)) AS data, min(distance) AS distance, arg_min(codebook_id, distance * 1000 + codebook_id) AS codebook_id FROM m GROUP BY data".replace("min(distance) AS distance", "CAST(min(distance) AS BIGINT) AS distance"))
+@query(f"{BASE}, c AS (SELECT DISTINCT data FROM ch WHERE octet_length(data) = 128), m AS (SELECT c.data, b.codebook_id, {HAMMING} AS distance FROM c, book b) SELECT lower(hex(data)) AS data, min(distance) AS distance, arg_min(codebook_id, distance * 1000 + codebook_id) AS codebook_id FROM m GROUP BY data".replace("min(distance) AS distance", "CAST(min(distance) AS BIGINT) AS distance"))
 def match_linear(spark, d):
-    c = chunking.fixed(objects(spark, d).where("object_id % 20 = 0")).where("size = 128").select("data").distinct()
-    return search.nearest_codeword(c, _book(spark, d), "linear").select(hexed("data"), "match.distance", "match.codebook_id")
-
-
-@query()
-def match_linear_all(spark, d):
     c = chunking.fixed(objects(spark, d)).where("size = 128").select("data").distinct()
     return search.nearest_codeword(c, _book(spark, d), "linear").select(hexed("data"), "match.distance", "match.codebook_id")
 
@@ -356,47 +344,36 @@ def match_lsh(spark, d):
 
 
 @query(f"""WITH {OBJ}, {ch_sql(128)}, {freq_sql(name='f0', where="lang = 'en'")}, {elite_sql('f0', 100, 4, 'e0')}, {book_sql('e0', 'b0')}, {freq_sql(name='f1', where="lang = 'de'")}, {elite_sql('f1', 100, 4, 'e1')}, {book_sql('e1', 'b1')},
-c AS (SELECT DISTINCT data FROM ch WHERE octet_length(data) = 128 AND object_id % 20 = 0),
+c AS (SELECT DISTINCT data FROM ch WHERE octet_length(data) = 128),
 m0 AS (SELECT c.data, min({HAMMING}) AS distance FROM c, b0 b GROUP BY c.data), m1 AS (SELECT c.data, min({HAMMING}) AS distance FROM c, b1 b GROUP BY c.data)
 SELECT lower(hex(data)) AS data, CASE WHEN m0.distance <= 512 OR m0.distance <= m1.distance THEN 0 ELSE 1 END AS codebook_index,
   CAST(CASE WHEN m0.distance <= 512 THEN m0.distance ELSE least(m0.distance, m1.distance) END AS BIGINT) AS distance FROM m0 JOIN m1 USING (data)""")
 def match_tiered(spark, d):
-    c = chunking.fixed(objects(spark, d).where("object_id % 20 = 0")).where("size = 128").select("data").distinct()
+    c = chunking.fixed(objects(spark, d)).where("size = 128").select("data").distinct()
     books = [_book(spark, d, "lang = 'en'", 100), _book(spark, d, "lang = 'de'", 100)]
     return search.nearest_codeword(c, books, "linear").select(hexed("data"), "match.codebook_index", "match.distance")
 
 
-@query()
-def match_tiered_all(spark, d):
-    c = chunking.fixed(objects(spark, d)).where("size = 128").select("data").distinct()
-    books = [_book(spark, d, "lang = 'en'", 100), _book(spark, d, "lang = 'de'", 100)]
-    return search.nearest_codeword(c, books, "linear").select(hexed("data"), "match.codebook_index", "match.distance")
+FAR = "bit_count(xor(CAST(array_slice(c.data, 1, 128) AS BIT), CAST(array_slice(b.pattern, 1, octet_length(c.data)) AS BIT))) + 8 * (128 - octet_length(c.data))"
 
 
-@query(f"{BASE}, {LSH} SELECT codebook_id, count(*) AS used FROM nn GROUP BY codebook_id ORDER BY used DESC, codebook_id LIMIT 20")
-def match_multipass(spark, d):
-    c = chunking.fixed(objects(spark, d)).where("size = 128").select("data").distinct()
-    return search.most_used(search.nearest_codeword(c, _book(spark, d)), 20)
+def nearest_sql(book: str, name: str) -> str:
+    return f"""{name} AS (SELECT data, n, CAST(min(distance) AS BIGINT) AS distance, arg_min(codebook_id, distance * 10000 + codebook_id) AS codebook_id
+  FROM (SELECT c.data, c.n, b.codebook_id, {FAR} AS distance FROM c JOIN {book} b ON b.bucket = c.bucket OR c.bucket NOT IN (SELECT bucket FROM {book})) GROUP BY data, n)"""
 
 
-@query()
-def match_multipass_restricted(spark, d):
+@query(f"""WITH {OBJ}, {ch_sql(128)}, {freq_sql()}, {elite_sql('freq', 600, 8)}, {book_sql()}, c AS (SELECT data, count(*) AS n, {bucket_sql('data')} AS bucket FROM ch GROUP BY data), {nearest_sql('book', 'p1')},
+used AS (SELECT codebook_id, sum(n) AS used FROM p1 GROUP BY codebook_id ORDER BY used DESC, codebook_id LIMIT 256), again AS (SELECT * FROM book WHERE codebook_id IN (SELECT codebook_id FROM used)), {nearest_sql('again', 'p2')}
+SELECT lower(hex(data)) AS data, n, codebook_id, distance FROM p2""")
+def match_multipass(spark, d):
     """Use counted over all chunks, the book restricted to its top 256, all chunks matched again."""
     c = chunking.fixed(objects(spark, d)).groupBy("data").agg(F.count("*").alias("n"))
-    book = _book(spark, d)
+    book = _book(spark, d, most=600, per=8)
     used = search.most_used(search.nearest_codeword(c, book), 256, "n")
-    again = search.nearest_codeword(c, search.restrict(book, used))
+    again = search.nearest_codeword(c, search.kept(search.restrict(book, used)))
     return again.select(hexed("data"), "n", "match.codebook_id", "match.distance")
 
 
-@query("""SELECT x.doc_id AS a, y.doc_id AS b, bit_count(xor(CAST(array_slice(encode(x.text), 1, 128) AS BIT), CAST(array_slice(encode(y.text), 1, 128) AS BIT))) AS distance
-FROM documents x JOIN documents y ON y.doc_id = x.doc_id + 1 WHERE octet_length(encode(x.text)) >= 128 AND octet_length(encode(y.text)) >= 128""".replace("bit_count(xor", "CAST(bit_count(xor").replace(" AS BIT))) AS distance", " AS BIT))) AS BIGINT) AS distance"))
-def hamming_pairs(spark, d):
-    o = objects(spark, d).where(F.octet_length("content") >= 128).select("object_id", F.substring("content", 1, 128).alias("c"))
-    b = o.select((F.col("object_id") - 1).alias("object_id"), F.col("c").alias("e"))
-    return o.join(b, "object_id").select(F.col("object_id").alias("a"), (F.col("object_id") + 1).alias("b"), arrow.hamming_bits("c", "e").alias("distance"))
-
-
 def _chunk_pairs(spark, d):
     """Every chunk ``c`` of a document with that of the same place in the next document, ``e``; empty where that has none."""
     c = chunking.fixed(objects(spark, d)).select("object_id", "chunk_idx", F.col("data").alias("c"))
@@ -404,20 +381,25 @@ def _chunk_pairs(spark, d):
     return c.join(e, ["object_id", "chunk_idx"], "left").withColumn("e", F.coalesce("e", F.unhex(F.lit(""))))
 
 
-@query()
-def hamming_pairs_chunks(spark, d):
+PAIRS = f"WITH {OBJ}, {ch_sql(128)}, p AS (SELECT x.object_id, x.chunk_idx, x.data AS c, y.data AS e FROM ch x JOIN ch y ON y.object_id = x.object_id + 1 AND y.chunk_idx = x.chunk_idx WHERE octet_length(x.data) = octet_length(y.data))"
+
+
+@query(f"{PAIRS} SELECT object_id AS a, object_id + 1 AS b, chunk_idx, CAST(bit_count(xor(CAST(c AS BIT), CAST(e AS BIT))) AS BIGINT) AS distance FROM p")
+def hamming_pairs(spark, d):
     p = _chunk_pairs(spark, d).where(F.octet_length("c") == F.octet_length("e"))
     return p.select(F.col("object_id").alias("a"), (F.col("object_id") + 1).alias("b"), "chunk_idx", arrow.hamming_bits("c", "e").alias("distance"))
 
 
-@query()
-def patch_roundtrip_chunks(spark, d):
+@query(f"WITH {OBJ}, {ch_sql(128)} SELECT object_id, chunk_idx, sha256(data) AS sha FROM ch")
+def patch_roundtrip(spark, d):
+    """The hash of each chunk as its edit script against the next document's chunk gives it back."""
     x = _chunk_pairs(spark, d).withColumn("s", arrow.diff_bytes("c", "e"))
-    return x.select("object_id", "chunk_idx", (arrow.patch_bytes("e", "s") == F.col("c")).alias("patch_same"))
+    return x.select("object_id", "chunk_idx", F.sha2(arrow.patch_bytes("e", "s"), 256).alias("sha"))
 
 
-@query()
-def xor_residual_chunks(spark, d):
+@query(f"""{PAIRS}, q AS (SELECT object_id, chunk_idx, hex(c) AS c, hex(e) AS e, octet_length(c) AS n FROM p)
+SELECT object_id, chunk_idx, list_aggregate(list_transform(range(n), lambda i: printf('%02x', xor(CAST('0x' || substr(c, 2 * i + 1, 2) AS INTEGER), CAST('0x' || substr(e, 2 * i + 1, 2) AS INTEGER)))), 'string_agg', '') AS x FROM q""")
+def xor_residual(spark, d):
     p = _chunk_pairs(spark, d).where(F.octet_length("c") == F.octet_length("e"))
     return p.select("object_id", "chunk_idx", F.lower(F.hex(arrow.xor_bytes("c", "e"))).alias("x"))
 
@@ -490,22 +472,6 @@ def verify_integrity(spark, d):
     return back.join(o, "object_id").select("object_id", F.octet_length("content").alias("size"), (F.sha2("content", 256) == F.sha2("want", 256)).alias("same"))
 
 
-@query("SELECT a.doc_id AS object_id, TRUE AS xor_same, TRUE AS patch_same FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1")
-def patch_roundtrip(spark, d):
-    o = objects(spark, d).select("object_id", F.substring("content", 1, 128).alias("c"))
-    p = o.join(o.select((F.col("object_id") - 1).alias("object_id"), F.col("c").alias("e")), "object_id")
-    x = p.withColumn("x", arrow.xor_bytes("c", "e")).withColumn("s", arrow.diff_bytes("c", "e"))
-    return x.select("object_id", (arrow.xor_bytes("x", "e") == F.col("c")).alias("xor_same"), (arrow.patch_bytes("e", "s") == F.col("c")).alias("patch_same"))
-
-
-@query("""WITH p AS (SELECT a.doc_id AS object_id, array_slice(encode(a.text), 1, 64) AS c, array_slice(encode(b.text), 1, 64) AS e FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1)
-SELECT object_id, lower(hex(c)) AS a, lower(hex(e)) AS b, (SELECT string_agg(printf('%02x', xor(CAST('0x' || substr(hex(c), 2 * i + 1, 2) AS INTEGER), CAST('0x' || substr(hex(e), 2 * i + 1, 2) AS INTEGER))), '' ORDER BY i) FROM range(64) r(i)) AS x FROM p WHERE octet_length(c) = 64 AND octet_length(e) = 64""")
-def xor_residual(spark, d):
-    o = objects(spark, d).where(F.octet_length("content") >= 64).select("object_id", F.substring("content", 1, 64).alias("c"))
-    p = o.join(o.select((F.col("object_id") - 1).alias("object_id"), F.col("c").alias("e")), "object_id")
-    return p.select("object_id", hexed("c", "a"), hexed("e", "b"), F.lower(F.hex(arrow.xor_bytes("c", "e"))).alias("x"))
-
-
 @query(f"WITH {OBJ}, {ch_sql(128)} SELECT object_id, chunk_idx, CAST(octet_length(data) AS INTEGER) AS delta_size, CAST(sum(octet_length(data)) OVER (PARTITION BY object_id ORDER BY chunk_idx) - octet_length(data) AS BIGINT) AS delta_offset FROM ch")
 def delta_offsets(spark, d):
     e = _entries(spark, d, packing.PackOptions(mode="stream"))
@@ -546,7 +512,7 @@ def pack_summary(spark, d):
 
 @query()
 def autopack_summary(spark, d):
-    o = objects(spark, d, "benchmark", "item_id")
+    o = objects(spark, d)
     tokens = [(i, b.ljust(16, b"\0")[:16]) for i, b, n in codebook.bpe(o, 400, 16) if len(b) > 2]
     book = spark.createDataFrame(tokens or [(0, b"\0" * 16)], "codebook_id long, pattern binary")
     return packing.metrics(packing.route(chunking.fixed(o, 16), book, packing.PackOptions(mode="stream", chunk_size=16)))
