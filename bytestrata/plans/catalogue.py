@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import arrow, native
-from ..operators import chunking, codebook, integrity, packing, search
+from ..operators import archives, chunking, codebook, integrity, packing, search
 from ..session import ship
 
 QUERIES: dict = {}
@@ -434,31 +434,70 @@ def route_stream(spark, d):
     return m.select("lang", "chunks", "literals", "xors", "bytes", "residual_bytes", "avg_similarity", "hit_rate_ge50", "hit_rate_ge95")
 
 
-@query()
+# Every distinct chunk with its entropy, nearest codeword, similarity, signature and polynomial, by plain SQL.
+_V = "TRY_CAST('0x' || substr(hex(data), 2 * {} + 1, 2) AS INTEGER)"
+_MAGIC_SQL = " OR ".join(f"starts_with(hex(data), '{m}')" for m in native.COMPRESSED_MAGIC) + " OR (starts_with(hex(data), '52494646') AND substr(hex(data), 17, 8) = '57454250')"
+ROUTED = f"""{BASE}, c AS (SELECT data, {bucket_sql('data')} AS bucket FROM (SELECT DISTINCT data FROM ch)), {ent_sql('c', 'data', 'data')},
+dist AS (SELECT c.data, b.codebook_id, {{far}} AS distance FROM c JOIN book b ON b.bucket = c.bucket OR c.bucket NOT IN (SELECT bucket FROM book)),
+nn AS (SELECT data, CAST(min(distance) AS BIGINT) AS distance, arg_min(codebook_id, distance * 1000 + codebook_id) AS codebook_id FROM dist GROUP BY data),
+v AS (SELECT data, octet_length(data) AS n, {_V.format(0)} AS c0, {_V.format(1)} AS v1, {_V.format(2)} AS v2 FROM ent WHERE e <= 3.0),
+ab AS (SELECT *, CASE WHEN n > 2 THEN (v2 - 2 * v1 + c0 + 512) % 256 ELSE 0 END AS twice FROM v),
+ac AS (SELECT *, twice // 2 AS a, CASE WHEN n > 1 THEN (v1 - c0 - twice // 2 + 512) % 256 ELSE 0 END AS b FROM ab WHERE twice % 2 = 0),
+poly AS (SELECT data FROM (SELECT data, n, unnest(range(n)) AS x, a, b, c0 FROM ac) GROUP BY data HAVING bool_and((a * x * x + b * x + c0) % 256 = {_V.format('x')})),
+k AS (SELECT nn.*, e, octet_length(data) AS n, greatest(0, 1 - distance / (octet_length(data) * 8)) AS s, data IN (SELECT data FROM poly) AS f,
+  (octet_length(data) > 4 AND ({_MAGIC_SQL})) OR e > 7.8 AS noisy FROM nn JOIN ent USING (data))""".format(far=FAR)
+
+
+def kinds_sql(mode: str) -> str:
+    """SQL: table ``r``, each chunk of a document with its encoding, similarity and residual's size."""
+    literal = "FALSE" if mode == "edge" else "e > 3.0 OR noisy OR s < 0.2"
+    fractal = "FALSE" if mode == "bytes" else "f"
+    return f"""{ROUTED}, w AS (SELECT *, CASE WHEN {fractal} THEN 'fractal' WHEN {literal} THEN 'literal' ELSE 'xor' END AS encoding FROM k),
+r AS (SELECT ch.*, n, encoding, codebook_id, distance, CASE encoding WHEN 'fractal' THEN 1.0 WHEN 'literal' THEN 0.0 ELSE s END AS similarity,
+  CASE WHEN encoding = 'literal' OR (encoding = 'xor' AND '{mode}' <> 'edge') THEN n ELSE 0 END AS residual FROM ch JOIN w USING (data))"""
+
+
+def metrics_sql(mode: str, by: str) -> str:
+    kind = lambda k: f"count(*) FILTER (encoding = '{k}') AS {k}s"
+    return f"""{kinds_sql(mode)} SELECT {by}, count(*) AS chunks, {kind('literal')}, {kind('fractal')}, {kind('xor')}, CAST(0 AS BIGINT) AS patches, CAST(sum(n) AS BIGINT) AS bytes,
+  CAST(sum(residual) AS BIGINT) AS residual_bytes, round(avg(similarity), 6) AS avg_similarity, round(avg(CAST(encoding = 'xor' AND similarity >= 0.5 AS DOUBLE)), 6) AS hit_rate_ge50,
+  round(avg(CAST(encoding = 'xor' AND similarity >= 0.95 AS DOUBLE)), 6) AS hit_rate_ge95 FROM r GROUP BY {by}"""
+
+
+@query(f"""{kinds_sql('archive')} SELECT object_id, chunk_idx, CASE encoding WHEN 'xor' THEN 'matched' ELSE encoding END AS route, CASE encoding WHEN 'xor' THEN codebook_id ELSE -1 END AS codebook_id, round(similarity, 6) AS similarity FROM r""")
+def route_archive_kinds(spark, d):
+    """The route of every chunk in archive mode; whether a match is stored as a patch or as XOR is left open."""
+    e = _entries(spark, d)
+    matched = F.col("encoding").isin("xor", "patch")
+    return e.select("object_id", "chunk_idx", F.when(matched, "matched").otherwise(F.col("encoding")).alias("route"), F.when(matched, F.col("codebook_id")).otherwise(F.lit(-1).cast("long")).alias("codebook_id"), F.round("similarity", 6).alias("similarity"))
+
+
+@query(metrics_sql("edge", "lang"))
 def route_edge(spark, d):
     return packing.metrics(_entries(spark, d, packing.PackOptions(mode="edge")), "lang")
 
 
-@query()
+@query(metrics_sql("bytes", "lang"))
 def route_bytes(spark, d):
     return packing.metrics(_entries(spark, d, packing.PackOptions(mode="bytes")), "lang")
 
 
-@query()
+@query(metrics_sql("bytes", "source"))
 def pack_metrics(spark, d):
-    return packing.metrics(_entries(spark, d), "source")
+    return packing.metrics(_entries(spark, d, packing.PackOptions(mode="bytes")), "source")
 
 
-@query()
+@query(f"{kinds_sql('edge')} SELECT lang, count(*) AS chunks, round(avg(CASE WHEN encoding = 'xor' THEN distance - 8 * (128 - n) ELSE 0 END), 6) AS bits_wrong FROM r GROUP BY lang")
 def edge_distortion(spark, d):
-    o = packing.PackOptions(mode="edge")
-    e = packing.decode(_entries(spark, d, o), _book(spark, d))
+    o, book = packing.PackOptions(mode="edge"), _book(spark, d)
+    e = packing.decode(packing.route(chunking.fixed(objects(spark, d, "documents", "doc_id", "text", "lang")), book, o), book)
     return e.groupBy("lang").agg(F.count("*").alias("chunks"), F.round(F.avg(arrow.hamming_bits("data", "decoded")), 6).alias("bits_wrong"))
 
 
 @query("SELECT doc_id AS object_id, sha256(encode(text)) AS sha, TRUE AS same FROM documents WHERE octet_length(encode(text)) > 0")
 def unpack_roundtrip(spark, d):
-    e = packing.decode(_entries(spark, d, packing.PackOptions(chunk_size=8, literal_entropy=3.5)), _book(spark, d, n=8))
+    book = _book(spark, d, n=8)
+    e = packing.decode(packing.route(chunking.fixed(objects(spark, d), 8), book, packing.PackOptions(chunk_size=8, literal_entropy=3.5)), book)
     back = chunking.reassemble(e.select("object_id", "chunk_idx", F.col("decoded").alias("data")))
     o = objects(spark, d).select("object_id", F.sha2("content", 256).alias("want"))
     return back.select("object_id", F.sha2("content", 256).alias("sha")).join(o, "object_id").select("object_id", "sha", (F.col("sha") == F.col("want")).alias("same"))
@@ -466,7 +505,8 @@ def unpack_roundtrip(spark, d):
 
 @query(f"WITH {OBJ} SELECT object_id, octet_length(d) AS size, TRUE AS same FROM o WHERE octet_length(d) > 0".replace("octet_length(d) AS size", "CAST(octet_length(d) AS INTEGER) AS size"))
 def verify_integrity(spark, d):
-    e = packing.decode(_entries(spark, d, packing.PackOptions(mode="stream")), _book(spark, d))
+    book = _book(spark, d)
+    e = packing.decode(packing.route(chunking.fixed(objects(spark, d)), book, packing.PackOptions(mode="stream")), book)
     back = chunking.reassemble(e.select("object_id", "chunk_idx", F.col("decoded").alias("data")))
     o = objects(spark, d).withColumnRenamed("content", "want")
     return back.join(o, "object_id").select("object_id", F.octet_length("content").alias("size"), (F.sha2("content", 256) == F.sha2("want", 256)).alias("same"))
@@ -496,18 +536,59 @@ def literal_fingerprint(spark, d):
     return chunking.fixed(objects(spark, d)).groupBy("data").agg(F.count("*").alias("count")).orderBy(F.desc("count"), "data").limit(10).select(hexed("data"), "count")
 
 
-@query()
+@query(f"{kinds_sql('bytes')} SELECT encoding, count(*) AS chunks, CAST(sum(n) AS BIGINT) AS bytes, CAST(sum(residual) AS BIGINT) AS residual, count(DISTINCT CASE WHEN encoding = 'xor' THEN codebook_id END) AS codewords FROM r GROUP BY encoding")
 def archive_info(spark, d):
-    e = _entries(spark, d)
+    e = _entries(spark, d, packing.PackOptions(mode="bytes"))
     return e.groupBy("encoding").agg(F.count("*").alias("chunks"), F.sum(F.col("size").cast("long")).alias("bytes"), F.sum(F.col("delta_size").cast("long")).alias("residual"), F.countDistinct("codebook_id").alias("codewords"))
 
 
+def _packed(spark, d, mode="archive"):
+    book = _book(spark, d)
+    return archives.pack(objects(spark, d), book, packing.PackOptions(mode=mode)), book
+
+
 @query()
 def pack_summary(spark, d):
-    e = _entries(spark, d, packing.PackOptions(mode="bytes"))
-    z = arrow.zstd_compress(F.col("residual"))
-    packed = e.groupBy("object_id").agg(F.sum(F.octet_length(z).cast("long")).alias("packed"), F.sum(F.col("size").cast("long")).alias("original"))
-    return packed.withColumn("passthrough", (F.col("packed") > F.col("original")) & (F.col("original") > 141))
+    return _packed(spark, d)[0].select("object_id", "passthrough", "original", "packed")
+
+
+@query("SELECT doc_id AS object_id, sha256(encode(text)) AS sha FROM documents")
+def archive_roundtrip(spark, d):
+    """Every document packed into an archive of its own, read from its bytes and unpacked."""
+    packed, book = _packed(spark, d, "stream")
+    return archives.unpack(packed, book).select("object_id", F.sha2("content", 256).alias("sha"))
+
+
+@query("SELECT doc_id AS object_id, 7 AS version, CAST(octet_length(encode(text)) AS BIGINT) AS original_size, sha256(encode(text)) AS original_hash FROM documents")
+def archive_headers(spark, d):
+    return archives.metadata(_packed(spark, d)[0]).select("object_id", "version", "original_size", F.lower(F.hex("original_hash")).alias("original_hash"))
+
+
+@query()
+def pool_entropy(spark, d):
+    return archives.pool_entropy(_packed(spark, d, "stream")[0])
+
+
+@query()
+def block_offsets(spark, d):
+    return archives.block_offsets(_packed(spark, d, "stream")[0])
+
+
+@query(f"{BASE} SELECT codebook_id, lower(hex(pattern)) AS pattern, bucket, sha256(unhex((SELECT string_agg(hex(pattern), '' ORDER BY codebook_id) FROM book))) AS build_hash FROM book")
+def codebook_file(spark, d):
+    """A codebook as a file's bytes and read again."""
+    return archives.codebook_of(spark, archives.codebook_bytes(_book(spark, d))).select("codebook_id", hexed("pattern"), "bucket", "build_hash")
+
+
+@query(f"{_TWO}, {book_sql('een', 'b')} SELECT count(*) FILTER (pattern IN (SELECT data FROM fde)) AS present, count(*) AS patterns FROM b")
+def codebook_overlap(spark, d):
+    o = objects(spark, d, "documents", "doc_id", "text", "lang")
+    return codebook.overlap(_book(spark, d, "lang = 'en'", 200), codebook.frequencies(chunking.fixed(o.where("lang = 'de'"))))
+
+
+@query(f"{BASE} SELECT CAST(sum(octet_length(data)) AS BIGINT) AS bytes, count(*) AS chunks, count(*) FILTER (octet_length(data) = 128) AS full_chunks, count(DISTINCT data) FILTER (octet_length(data) = 128) AS unique_patterns, (SELECT count(*) FROM book) AS codewords FROM ch")
+def train_counters(spark, d):
+    return codebook.counters(chunking.fixed(objects(spark, d)), _book(spark, d))
 
 
 @query()
@@ -527,8 +608,9 @@ def variational_decode(spark, d):
 
 @query()
 def codebook_acceptance(spark, d):
-    e = _entries(spark, d, packing.PackOptions(mode="edge"))
-    r = e.groupBy("source").agg((F.sum("delta_size") / F.sum("size")).alias("ratio"))
+    """Sources whose documents the codebook packs to at most 0.95 of their size."""
+    packed, _ = _packed(spark, d)
+    r = packed.join(table(spark, d, "documents").select(F.col("doc_id").alias("object_id"), "source"), "object_id").groupBy("source").agg((F.sum("packed") / F.sum("original")).alias("ratio"))
     return r.select("source", F.round("ratio", 6).alias("ratio"), (F.col("ratio") <= 0.95).alias("accepted"))
 
 
@@ -581,6 +663,24 @@ def manifest_diff(spark, d):
     return integrity.manifest_diff(m.where("object_id % 3 <> 0"), m.where("object_id % 3 <> 1"), "delta_hash")
 
 
+def _hashed(spark, d):
+    """Manifest entries of documents in stream mode, where residuals are as long as their chunks."""
+    return integrity.manifest(_entries(spark, d, packing.PackOptions(mode="stream")))
+
+
+@query(f"WITH {OBJ}, {ch_sql(128)} SELECT object_id, chunk_idx, CAST(octet_length(data) AS INTEGER) AS chunk_size FROM ch")
+def manifest_json(spark, d):
+    """Manifests as JSON and read again."""
+    return integrity.manifest_from_json(integrity.manifest_json(_hashed(spark, d))).select("object_id", "chunk_idx", "chunk_size")
+
+
+@query(f"WITH {OBJ}, {ch_sql(128)} SELECT object_id, CAST(octet_length(d) AS BIGINT) AS original_size, chunk_idx, CAST(octet_length(data) AS INTEGER) AS chunk_size, CAST(('0x' || substr(sha256(data), 1, 15)) AS BIGINT) AS delta_hash FROM ch JOIN o USING (object_id)")
+def manifest_binary(spark, d):
+    """Binary manifests of chunk hashes and read again."""
+    m = _manifest(spark, d).select("object_id", "chunk_idx", F.lit(-1).cast("long").alias("codebook_id"), F.conv(F.substring("delta_hash", 1, 15), 16, 10).cast("long").alias("delta_hash"), "chunk_size")
+    return integrity.manifest_from_binary(integrity.manifest_binary(m, objects(spark, d))).drop("codebook_id")
+
+
 @query(f"{MAN}, a AS (SELECT * FROM man WHERE object_id % 3 <> 0) SELECT object_id, chunk_idx FROM man WHERE object_id % 3 = 0 AND delta_hash NOT IN (SELECT delta_hash FROM a)")
 def manifest_missing_idx(spark, d):
     m = _manifest(spark, d)
@@ -599,6 +699,16 @@ def grep_semantic(spark, d):
     return integrity.grep_codewords(e, b, b"tion").select("object_id", "chunk_idx")
 
 
+@query(f"""{BASE}, c AS (SELECT data, count(*) AS n, {bucket_sql('data')} AS bucket FROM ch GROUP BY data), {nearest_sql('book', 'p1')},
+h AS (SELECT object_id, chunk_idx, off AS "offset", data, row_number() OVER (ORDER BY object_id, chunk_idx) AS rk FROM ch JOIN p1 USING (data) JOIN book USING (codebook_id) WHERE regexp_matches(hex(pattern), '^(..)*74696F6E'))
+SELECT object_id, chunk_idx, "offset", CASE WHEN rk <= 20 THEN list_aggregate(list_transform(range(octet_length(data)), lambda i: CASE WHEN substr(hex(data), 2 * i + 1, 2) = '0A' THEN '20' ELSE lower(substr(hex(data), 2 * i + 1, 2)) END), 'string_agg', '') END AS shown FROM h""")
+def grep_hits(spark, d):
+    """Chunks whose codeword has the needle, their offsets, and the first 20 decoded on one line."""
+    book = _book(spark, d)
+    e = packing.route(chunking.fixed(objects(spark, d)), book, packing.PackOptions(mode="stream"))
+    return integrity.grep_hits(e, book, b"tion").withColumn("shown", F.lower(F.hex(F.encode("shown", "ISO-8859-1"))))
+
+
 @query("SELECT doc_id AS object_id FROM documents WHERE contains(text, 'thing')")
 def grep_exact(spark, d):
     return integrity.grep_exact(objects(spark, d), b"thing").select("object_id")
@@ -639,6 +749,18 @@ def inode_children(spark, d):
     return n.where("parent_id is not null").groupBy(F.col("parent_id").alias("id")).agg(F.count("*").alias("children")).join(n.select("id", F.col("path").alias("parent")), "id").select("parent", "children")
 
 
+@query(rf"""WITH p AS (SELECT DISTINCT regexp_replace(regexp_replace({URLP}, '^/+|/+$', '', 'g'), '/+', '/', 'g') AS path FROM pages),
+q AS (SELECT string_split(path, '/') AS parts FROM p), r AS (SELECT DISTINCT array_to_string(parts[1:i], '/') AS path, array_to_string(parts[1:i-1], '/') AS up, parts[i] AS name FROM (SELECT *, unnest(generate_series(1, len(parts))) AS i FROM q))
+SELECT path AS up, (SELECT count(*) FROM r x WHERE x.up = r.path AND x.name = 'en') AS nodes FROM r WHERE up = ''""")
+def node_lookup(spark, d):
+    """The folder ``en`` of every host, looked up by parent and name."""
+    f = table(spark, d, "pages").select(F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), r"[?#].*$", "").alias("path"), F.octet_length("html").alias("size"), F.col("page_id").alias("mod_time"))
+    n = integrity.inodes(f)
+    hosts = n.where("parent_id is null").select("id", F.col("path").alias("up"))
+    found = integrity.lookup_node(n, hosts.select(F.col("id").alias("parent_id"), F.lit("en").alias("name")))
+    return hosts.join(found.select(F.col("parent_id").alias("id"), F.lit(1).alias("one")), "id", "left").groupBy("up").agg(F.count("one").alias("nodes"))
+
+
 # ---- crypto, compression ----
 SECRET = "000102030405060708090a0b0c0d0e0f101112131415161718191a1b1c1d1e1f"
 
