@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -108,6 +109,19 @@ def numbered(df: DataFrame, pid: str, idx: str, by: str, out: str) -> DataFrame:
     return df.join(base, [pid, by]).withColumn(out, F.col("_base") + F.col(idx)).drop("_base")
 
 
+_NO_LETTER = re.compile(r"[\W\d_]")
+
+
+def blocks(text: str, size: int) -> Iterator[str]:
+    """``text`` in pieces of about ``size`` characters, cut where no letter stands, so that no word is split."""
+    at = 0
+    while at < len(text):
+        cut_at = _NO_LETTER.search(text, at + size) if at + size < len(text) else None
+        end = cut_at.end() if cut_at else len(text)
+        yield text[at:end]
+        at = end
+
+
 def words_sql(text: str) -> str:
     """SQL for the words ``[^\\x20\\x09-\\x0D]+`` of a text, none where it is null."""
     return rf"""array_remove(split(translate(coalesce({text}, ''), '\t\n\u000b\u000c\r', '     '), ' '), '')"""

@@ -17,9 +17,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
+from .common import blocks
 from .ftrl import FTRL
 
 UND = "und"
+_BLOCK = 1 << 18
 _LETTER: np.ndarray | None = None
 _ROW = "at array<int>, tf array<int>"
 
@@ -35,8 +37,8 @@ def ngrams(text: str | None, bits: int, most: int = 3) -> tuple[np.ndarray, np.n
     """Hash slots and counts of the 1- to ``most``-grams of letters, words set apart by one
     blank; None without letters. Works in blocks, so memory is bounded for any length."""
     total = None
-    for lo in range(0, len(text or ""), 1 << 18):
-        cp = np.frombuffer(text[lo : lo + (1 << 18)].lower().encode("utf-32-le"), np.uint32)
+    for part in blocks(text or "", _BLOCK):
+        cp = np.frombuffer(part.lower().encode("utf-32-le", "replace"), np.uint32)
         cp = np.where(letters()[cp], cp, np.uint32(32))
         cp = np.concatenate([[np.uint32(32)], cp, [np.uint32(32)]])
         cp = cp[~((cp == 32) & np.concatenate([[False], cp[:-1] == 32]))]
@@ -91,13 +93,17 @@ def _frequencies(docs: DataFrame, bits: int) -> DataFrame:
     return docs.select("text").mapInArrow(count, "at long, df long").groupBy("at").agg(F.sum("df").alias("df"))
 
 
-def train(docs: DataFrame, *, sample: int = 3000, bits: int = 15, epochs: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = 1e-3, l2: float = 1e-3) -> LanguageModel:
+def train(docs: DataFrame, *, sample: int = 3000, most_langs: int = 512, bits: int = 15, epochs: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = 1e-3, l2: float = 1e-3) -> LanguageModel:
     """A model from ``text`` and ``lang``. Rows without a language or without letters teach
-    nothing; without any other row the model has no language and answers ``und``."""
+    nothing; without any other row the model has no language and answers ``und``.
+
+    The sample has an equal share of distinct texts for each language, so copies count once in
+    it; ``most_langs`` bounds the classes to the most frequent languages (ties by name).
+    """
     ship(docs.sparkSession)
-    docs = docs.where("lang is not null").select("lang", "text")
-    counts = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    langs = sorted(counts)
+    docs = docs.where("lang is not null").select("lang", "text", F.xxhash64("text").alias("k"))
+    counts = docs.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("k").alias("texts")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()
+    langs = sorted(r["lang"] for r in counts)
     found = {r["at"]: r["df"] for r in _frequencies(docs, bits).collect()}  # at most 2^bits + 1 rows
     n = found.pop(-1, 0)
     df = np.zeros(1 << bits)
@@ -107,12 +113,11 @@ def train(docs: DataFrame, *, sample: int = 3000, bits: int = 15, epochs: int =
         model.langs = []
         return model
     each = max(1, sample // len(langs))
-    key = F.xxhash64("text")
-    rate = F.lit(1.0)
-    for lang in langs:
-        rate = F.when(F.col("lang") == lang, F.lit(min(1.0, 2 * each / counts[lang]))).otherwise(rate)
-    some = docs.withColumn("k", key).where(F.pmod("k", F.lit(1_000_003)) < rate * 1_000_003)
-    some = some.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("k"))).where(F.col("r") <= each)
+    kind = docs.schema["lang"].dataType.simpleString()
+    rates = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, 3 * each / max(1, r["texts"]))) for r in counts], f"lang {kind}, rate double")
+    keys = docs.select("lang", "k").join(F.broadcast(rates), "lang").where(F.pmod("k", F.lit(1_000_003)) < F.col("rate") * 1_000_003).select("lang", "k").distinct()
+    keys = keys.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("k"))).where(F.col("r") <= each).select("lang", "k")
+    some = docs.join(F.broadcast(keys), ["lang", "k"]).groupBy("lang", "k").agg(F.min("text").alias("text"))  # at most ``sample``
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,7 +125,6 @@ def train(docs: DataFrame, *, sample: int = 3000, bits: int = 15, epochs: int =
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.int64()), *(pa.array([r[j].astype(np.int32) for r in rows], pa.list_(pa.int32())) for j in (2, 3))], ["lang", "k", "at", "tf"])
 
-    kind = docs.schema["lang"].dataType.simpleString()
     rows = some.mapInArrow(vectors, f"lang {kind}, k long, {_ROW}").toArrow()
     rows = zip(*(rows.column(c).to_numpy() for c in ("k", "lang", "at", "tf")))
     rows = sorted(rows, key=lambda r: (r[0], r[1]))  # at most ``sample``
