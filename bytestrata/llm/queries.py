@@ -43,7 +43,7 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.secret_scan(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "word", F.char_length("token").alias("n_chars"), F.crc32("token").alias("token_crc32"), "p_secret", "is_secret")
+    return found.select("doc_id", "word", "part", F.char_length("token").alias("n_chars"), F.crc32("token").alias("token_crc32"), "p_secret", "is_secret")
 
 
 def op8_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
