@@ -1,10 +1,14 @@
 """Best-fit-decreasing sharding of indivisible groups.
 
-Groups (equal texts) are summed in a distributed aggregation. Those with at least 1/256 of
-a shard's even share, at most 256 x shards of them whatever the input, are items of their
-own; the others fall by hash into a fixed number of bundles, which are items too. Items,
-sorted by size, enter the tightest bin that still holds them, found in a balanced search
-tree of remaining capacities; the capacity is the smallest at which they fit the shards.
+Groups (equal texts) are summed in a distributed aggregation; each is an item. Items, sorted by
+size, enter the tightest bin that still holds them, found in a balanced search tree of remaining
+capacities; the capacity is the smallest at which they fit the shards.
+
+Items of equal size follow each other, and a bin that took one stays the tightest until it can
+take no more. So only the number of items of each size is needed to know how many of them each
+bin takes. Sizes count with ``DIGITS`` significant bits (rounded up; below 2^DIGITS exactly),
+so that the driver holds at most 2^(DIGITS - 1) sizes for each power of two, whatever the input.
+Groups of a size are numbered on the workers, and take their shard from the ranges of numbers.
 """
 
 from __future__ import annotations
@@ -14,12 +18,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship
-from .common import cut, numbered
+from .common import cut, numbered, written
+
+DIGITS = 12
 
 
 class CapacityTree:
@@ -81,58 +87,95 @@ def best_fit_decreasing(sizes: list[int], capacity: int, most: int | None = None
     return out
 
 
-def fit_shards(sizes: list[int], shards: int) -> list[int]:
-    """Bins below ``shards`` at the smallest capacity for which best fit needs no more."""
+def best_fit_counts(sizes: list[tuple[int, int]], capacity: int, most: int) -> list[tuple[int, int, int, int]] | None:
+    """``best_fit_decreasing`` of (size, count) pairs: (size, first, last + 1, bin) for runs of the items of a
+    size, numbered from 0; None if more than ``most`` bins or an item above ``capacity``."""
+    out, tree, bins = [], CapacityTree(), 0
+    for size, count in sorted(sizes, reverse=True):
+        at = 0
+        if size > capacity:
+            return None
+        while at < count:
+            found = tree.take(size)
+            if found is None:
+                if bins == most:
+                    return None
+                found, bins = (capacity, bins), bins + 1
+            n = min(count - at, found[0] // size)
+            out.append((size, at, at + n, found[1]))
+            tree.add(found[0] - n * size, found[1])
+            at += n
+    return out
+
+
+def fit_shards(sizes: list[tuple[int, int]], shards: int) -> list[tuple[int, int, int, int]]:
+    """``best_fit_counts`` at the smallest capacity for which best fit needs no more than ``shards`` bins."""
     if not sizes:
         return []
-    low, high = max(max(sizes), -(-sum(sizes) // shards)), max(sizes) + -(-sum(sizes) // shards)
-    best = best_fit_decreasing(sizes, high, shards)
+    largest, total = max(s for s, _ in sizes), sum(s * n for s, n in sizes)
+    low, high = max(largest, -(-total // shards)), largest + -(-total // shards)
+    best = best_fit_counts(sizes, high, shards)
     while low < high:
         mid = (low + high) // 2
-        if (found := best_fit_decreasing(sizes, mid, shards)) is None:
+        if (found := best_fit_counts(sizes, mid, shards)) is None:
             low = mid + 1
         else:
             best, high = found, mid
     return best
 
 
-def shard(docs: DataFrame, *, shards: int = 16, bundles: int = 4096) -> DataFrame:
-    """``doc_id``, ``size``, ``text_crc32``, ``law``, ``shard``, ``slot``, ``grown_shard`` for every row.
+def rounded(size: str, digits: int = DIGITS) -> Column:
+    """The size with ``digits`` significant bits, rounded up."""
+    step = f"shiftleft(1L, greatest(0, length(bin({size})) - {digits}))"
+    return F.expr(f"(({size} + {step} - 1) div {step}) * {step}")
 
-    Needs ``doc_id`` and ``text`` and ignores other columns. ``size``: UTF-8 bytes + 1.
-    Equal texts share a shard, so a group above an even share makes its shard larger than
-    the others. Null and empty texts are one group, of size 1 each and crc32 0. Null
-    doc_id: sharded like any other. Repeated rows: each gets its own slot. Ties of size are
-    broken by the group's hash. Empty table: no rows. ``law`` is always ``bytes``, and
-    ``grown_shard`` null.
-    """
-    ship(docs.sparkSession)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = cut(docs.select("doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text).alias("text_crc32"), F.md5(text.cast("binary")).alias("grp")))
-    groups = cut(rows.groupBy("grp").agg(F.sum("size").alias("bytes")))
-    total = groups.agg(F.sum("bytes")).first()[0] or 0
-    large = F.col("bytes") * F.lit(256 * shards) >= F.lit(total)
-    bundle = F.concat(F.lit("b"), F.pmod(F.xxhash64("grp"), F.lit(bundles)))
-    items = sorted(groups.withColumn("item", F.when(large, F.col("grp")).otherwise(bundle)).groupBy("item").agg(F.sum("bytes").alias("bytes")).collect())  # at most 256 x shards + bundles
-    spark = docs.sparkSession
-    placed = list(zip([x["item"] for x in items], fit_shards([x["bytes"] for x in items], shards)))
-    place = F.broadcast(spark.createDataFrame(placed, "item string, shard int"))
-    own = F.broadcast(spark.createDataFrame([(k, True) for k, _ in placed if len(k) == 32], "grp string, own boolean"))
-    rows = rows.join(own, "grp", "left").withColumn("item", F.when(F.col("own"), F.col("grp")).otherwise(bundle)).join(place, "item").select("doc_id", "size", "text_crc32", "shard")
-    schema = T.StructType([*rows.schema.fields, T.StructField("_pid", T.LongType()), T.StructField("_idx", T.LongType())])
+
+def _counted(df: DataFrame, by: str) -> DataFrame:
+    """``df``, cut, with ``_pid`` and ``_idx``: a number from 0 for each value of ``by`` in a task."""
+    schema = T.StructType([*df.schema.fields, T.StructField("_pid", T.LongType()), T.StructField("_idx", T.LongType())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        pid, used = TaskContext.get().partitionId(), np.zeros(shards, np.int64)
+        pid, used = TaskContext.get().partitionId(), {}
         for batch in batches:
-            at = batch.column("shard").to_numpy(zero_copy_only=False)
-            idx = np.zeros(len(at), np.int64)
-            for k in range(shards):
-                here = np.flatnonzero(at == k)
-                idx[here] = used[k] + np.arange(len(here))
-                used[k] += len(here)
+            at = batch.column(by).to_numpy(zero_copy_only=False)
+            order = np.argsort(at, kind="stable")
+            values, first, n = np.unique(at[order], return_index=True, return_counts=True)
+            idx = np.empty(len(at), np.int64)
+            idx[order] = np.arange(len(at)) - np.repeat(first, n) + np.repeat([used.get(v, 0) for v in values.tolist()], n)
+            for v, k in zip(values.tolist(), n.tolist()):
+                used[v] = used.get(v, 0) + k
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(at), pid)), pa.array(idx)], schema.names)
 
-    out = numbered(cut(rows.mapInArrow(count, schema)), "_pid", "_idx", "shard", "slot")
+    return cut(df.mapInArrow(count, schema))
+
+
+def shard(docs: DataFrame, *, shards: int = 16) -> DataFrame:
+    """``doc_id``, ``size``, ``text_crc32``, ``law``, ``shard``, ``slot``, ``grown_shard`` for every row.
+
+    Needs ``doc_id`` and ``text`` and ignores other columns. ``size``: UTF-8 bytes + 1.
+    Equal texts share a shard, so a group above an even share makes its shard larger than
+    the others. Null and empty texts are one group, of size 1 each and crc32 0. Null
+    doc_id: sharded like any other. Repeated rows: each gets its own slot. Ties: groups of one
+    size are alike, whichever comes first. Very long texts: only their bytes are counted and
+    hashed. Empty table: no rows. ``law`` is always ``bytes``, and ``grown_shard`` null.
+    """
+    spark = docs.sparkSession
+    ship(spark)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = written(docs.select("doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text).alias("text_crc32"), F.unhex(F.md5(text.cast("binary"))).alias("grp")))
+    groups = rows.groupBy("grp").agg(F.sum("size").alias("bytes")).withColumn("class", rounded("bytes"))
+    groups = numbered(_counted(groups, "class"), "_pid", "_idx", "class", "_at").select("grp", "bytes", "class", "_at")
+    counts = groups.groupBy("class").agg(F.count("*").alias("n")).collect()  # at most 2^(DIGITS - 1) for each power of two
+    plan = spark.createDataFrame(fit_shards([(r["class"], r["n"]) for r in counts], shards), "class long, lo long, hi long, shard int")
+    placed = written(groups.join(F.broadcast(plan), ["class"]).where("_at >= lo and _at < hi").select("grp", "bytes", "shard"))
+    # a group may hold a third of all rows: the large ones, at most 256 x shards, are dealt over sixteen tasks each
+    total = placed.agg(F.sum("bytes")).first()[0] or 0
+    large = F.col("bytes") * F.lit(256 * shards) >= F.lit(total)
+    own = F.broadcast(placed.where(large).select("grp", F.lit(True).alias("own")))
+    salts = F.when(large, F.sequence(F.lit(0), F.lit(15))).otherwise(F.array(F.lit(0)))
+    rows = rows.join(own, "grp", "left").withColumn("salt", F.when(F.col("own"), F.floor(F.rand(7) * 16).cast("int")).otherwise(F.lit(0)))
+    rows = rows.join(placed.select("grp", "shard", F.explode(salts).alias("salt")), ["grp", "salt"]).select("doc_id", "size", "text_crc32", "shard")
+    out = numbered(_counted(rows, "shard"), "_pid", "_idx", "shard", "slot")
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -210,9 +210,22 @@ def test_best_fit_decreasing_matches_scan():
             left[fit[1]] -= sizes[i]
             out[i] = fit[1]
         assert sharding.best_fit_decreasing(sizes, cap) == out
+        # the same by counts of sizes: each bin takes as many items of a size
+        runs = sharding.best_fit_counts([(s, sizes.count(s)) for s in set(sizes)], cap, len(sizes) + 1)
+        by_bin = {}
+        for size, lo, hi, k in runs:
+            by_bin[size, k] = by_bin.get((size, k), 0) + hi - lo
+        assert by_bin == {(s, k): sum(x == s and o == k for x, o in zip(sizes, out)) for s, k in zip(sizes, out)}
     assert sharding.best_fit_decreasing([5], 4) is None and sharding.fit_shards([], 4) == []
 
 
+def test_sizes_keep_their_leading_bits(spark):
+    sizes = [1, 2, 4095, 4096, 4097, 10**6, 10**9 + 7, 2**40 + 1]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in sizes], "x long").select(sharding.rounded("x")).collect()]
+    want = [-(-x // (1 << max(0, x.bit_length() - 12))) << max(0, x.bit_length() - 12) for x in sizes]
+    assert got == want and all(x <= y <= x * (1 + 2**-11) for x, y in zip(sizes, got))
+
+
 def test_shards_are_even_and_keep_groups(spark):
     rng = random.Random(8)
     docs = [(i, prose(rng, rng.randint(1, 200))) for i in range(600)] + [(1000 + i, "copied " * 20) for i in range(50)]
