@@ -6,6 +6,7 @@ so the unit of work is a block. An archive is one value of at most 2 GB.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -197,6 +198,33 @@ def pool_entropy(archives: DataFrame) -> DataFrame:
     return out.select("object_id", F.round("entropy", 6).alias("entropy"), F.round(F.col("entropy") / 8 * 100, 6).alias("randomness"))
 
 
+def export(archives: DataFrame, folder: str, suffix: str = ".crom") -> DataFrame:
+    """Writes each archive to a file of its own in ``folder`` (a path or URI that every worker can write), named by
+    the last part of its ``object_id``; returns ``path`` and ``bytes``. A file written twice is the same."""
+    ship(archives.sparkSession)
+    root = folder if "://" in folder else os.path.abspath(folder)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(root)
+        system.create_dir(base, recursive=True)
+        for batch in batches:
+            paths = [f"{base}/{str(i.as_py()).rsplit('/', 1)[-1]}{suffix}" for i in batch.column(0)]
+            data = [d.as_py() or b"" for d in batch.column(1)]
+            for path, d in zip(paths, data):
+                with system.open_output_stream(path) as out:
+                    out.write(d)
+            yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array([len(d) for d in data], pa.int64())], ["path", "bytes"])
+
+    return archives.select(F.col("object_id").cast("string"), "archive").mapInArrow(of, "path string, bytes bigint")
+
+
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """``object_id`` (path) and ``archive`` of archive files, to be read by ``read``, ``metadata`` and the others."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("object_id"), F.col("content").alias("archive"))
+
+
 # ---- codebook files ----
 def codebook_bytes(book: DataFrame) -> bytes:
     """The file of a codebook, whose size is bounded where it is trained."""

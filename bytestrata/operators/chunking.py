@@ -78,3 +78,20 @@ def reassemble(chunks: DataFrame, key: str = "object_id") -> DataFrame:
 
 
 CHUNKERS = {"fixed": fixed, "fastcdc": fastcdc, "cdc": cdc, "delimited": delimited, "contextual": contextual}
+
+
+def register(spark) -> None:
+    """SQL names: ``bytestrata_chunks(content, size)`` as a table function; ``bytestrata_entropy``,
+    ``bytestrata_fnv1a`` and ``bytestrata_xxh64`` of bytes."""
+    ship(spark)
+
+    @F.udtf(returnType="chunk_idx int, offset long, size int, data binary")
+    class Chunks:
+        def eval(self, content: bytes, size: int):
+            for k, at in enumerate(range(0, len(content or b""), size)):
+                part = content[at : at + size]
+                yield k, at, len(part), part
+
+    spark.udtf.register("bytestrata_chunks", Chunks)
+    for name, f, kind in (("entropy", arrow.entropy_of, "double"), ("fnv1a", lambda b: arrow._signed(arrow.fnv1a(b)), "long"), ("xxh64", arrow.xxh64, "long")):
+        spark.udf.register(f"bytestrata_{name}", lambda b, f=f: None if b is None else f(bytes(b)), kind)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def files(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
-    """``object_id`` (path), ``content`` of every readable file under ``path``."""
+    """``object_id`` (path), ``content`` of every readable file under ``path``; Spark passes over empty files."""
     read = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("ignoreCorruptFiles", "true")
     return read.load(path).select(F.col("path").alias("object_id"), "content")
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import chunking, packing
 
@@ -23,6 +26,13 @@ def messages(lines: DataFrame) -> DataFrame:
     return m.where((F.col("type") == "announce") | ((F.col("type") == "propose") & (F.col("weight") > 0)))
 
 
+def once(messages_: DataFrame, keys: list[str], delay: str | None = None) -> DataFrame:
+    """Each message once: within the watermark ``delay`` of its ``ts`` in a stream, over all rows of a batch."""
+    if messages_.isStreaming:
+        return messages_.withWatermark("ts", delay or "10 minutes").dropDuplicatesWithinWatermark(keys)
+    return messages_.dropDuplicates(keys)
+
+
 def weights(lines: DataFrame) -> DataFrame:
     return messages(lines).where("type = 'propose'").groupBy("pattern").agg(F.sum("weight").alias("weight"), F.count("*").alias("messages"))
 
@@ -45,3 +55,61 @@ def append_log(mutations: DataFrame, out: str, checkpoint: str):
 def touched(events: DataFrame, idle: str) -> DataFrame:
     """Keys with their last touch, kept while they are no longer idle than ``idle`` behind the watermark."""
     return events.withWatermark("ts", idle).groupBy("user_id", F.window("ts", idle)).agg(F.max("ts").alias("last"), F.count("*").alias("touches"))
+
+
+def evictions(events: DataFrame, idle_seconds: int, delay: str = "0 seconds") -> DataFrame:
+    """``user_id``, ``touches``, ``last``: a key each time it is evicted, ``idle_seconds`` of event time after its
+    last touch. State is one row a key, dropped with the eviction."""
+
+    def row(key, touches: int, last: int) -> pd.DataFrame:
+        return pd.DataFrame({"user_id": [key[0]], "touches": [touches], "last": [pd.Timestamp(last, unit="us", tz="UTC").tz_localize(None)]})
+
+    def step(key, batches, state: GroupState):
+        if state.hasTimedOut:
+            yield row(key, *state.get)
+            state.remove()
+            return
+        touches, last = state.get if state.exists else (0, 0)
+        for at in sorted(int(x) for batch in batches for x in batch["ts"].astype("datetime64[us]").astype("int64")):
+            if touches and at - last > idle_seconds * 1_000_000:  # it had been idle before this touch
+                yield row(key, touches, last)
+                touches = 0
+            touches, last = touches + 1, max(last, at)
+        state.update((touches, last))
+        state.setTimeoutTimestamp(max(last // 1000 + 1000 * idle_seconds, state.getCurrentWatermarkMs() + 1))
+
+    kind = events.schema["user_id"].dataType.simpleString()
+    rows = events.withWatermark("ts", delay).select("user_id", "ts").groupBy("user_id")
+    return rows.applyInPandasWithState(step, f"user_id {kind}, touches long, last timestamp", "touches long, last long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+class Counters(StreamingQueryListener):
+    """Totals over the batches of named streaming queries, by what ``observe`` collects under ``name``."""
+
+    def __init__(self, name: str, on_progress=None):
+        self.name, self.on_progress, self.totals = name, on_progress, {}
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        row = event.progress.observedMetrics.get(self.name)
+        if row is not None:
+            for k, v in row.asDict().items():
+                self.totals[k] = self.totals.get(k, 0) + (v or 0)
+            if self.on_progress:
+                self.on_progress(dict(self.totals))
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
+def counted(entries: DataFrame, name: str) -> DataFrame:
+    """``entries`` that report chunks, bytes and residual bytes under ``name`` when they are computed, without a pass of their own."""
+    return entries.observe(name, F.count("*").alias("chunks"), F.sum("size").alias("bytes"), F.sum("delta_size").alias("residual_bytes"))
+
+
+def with_progress(entries: DataFrame) -> tuple[DataFrame, Observation]:
+    """``entries`` of a batch, and the observation that has the same counts after its action."""
+    seen = Observation()
+    return entries.observe(seen, F.count("*").alias("chunks"), F.sum("size").alias("bytes"), F.sum("delta_size").alias("residual_bytes")), seen

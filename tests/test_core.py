@@ -371,3 +371,106 @@ def test_keys_and_small_functions(spark):
     assert len(native.new_salt()) == 16 and native.new_salt() != native.new_salt()
     row = spark.range(1).select(native.one_line(F.lit("a\nb")), native.entry_size(F.lit(6)), native.entry_size(F.lit(7)), native.block_count(F.lit(131_073)), native.is_model_file(F.lit(b"GGUFx"))).first()
     assert tuple(row) == ("a b", 24, 25, 2, True)
+
+
+# ---- streams with state, counters, names, command line ----
+def test_evictions_keep_state_until_idle(spark, tmp_path):
+    rows = [[("a", 0), ("b", 5)], [("a", 30)], [("c", 200)], [("a", 210)], [("c", 1000)], [("d", 1001)]]
+    for k, batch in enumerate(rows):
+        df = spark.createDataFrame(batch, "user_id string, s int").selectExpr("user_id", "timestamp_seconds(1000000 + s) AS ts")
+        df.coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+        os.utime(next((tmp_path / "in" / str(k)).glob("*.parquet")), (1_000_000 + k, 1_000_000 + k))
+    events = spark.readStream.schema("user_id string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    q = streams.evictions(events, 60).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
+    assert q.awaitTermination(180) and q.exception() is None
+    got = sorted((r.user_id, r.touches, int(r["last"].timestamp()) % 1000) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert got == [("a", 1, 210), ("a", 2, 30), ("b", 1, 5), ("c", 1, 200)]
+
+
+def test_messages_count_once(spark, tmp_path):
+    rows = [("m1", 1), ("m1", 2), ("m2", 3)]
+    df = spark.createDataFrame(rows, "id string, s int").selectExpr("id", "timestamp_seconds(s) AS ts")
+    assert streams.once(df, ["id"]).count() == 2
+    df.coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = streams.once(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), ["id"], "1 minute")
+    q = stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
+    assert q.awaitTermination(120) and spark.read.parquet(f"{tmp_path}/out").count() == 2
+
+
+def test_counters_see_what_passes(spark):
+    df = spark.createDataFrame([(10, 4), (20, 0)], "size int, delta_size int")
+    out, seen = streams.with_progress(df)
+    assert out.count() == 2 and seen.get == {"chunks": 2, "bytes": 30, "residual_bytes": 4}
+
+
+def test_sql_names(spark):
+    chunking.register(spark)
+    rows = spark.sql("SELECT c.* FROM VALUES (X'616263') AS t(b), LATERAL bytestrata_chunks(t.b, 2) AS c ORDER BY chunk_idx").collect()
+    assert [(r.chunk_idx, r.offset, r.size, bytes(r.data)) for r in rows] == [(0, 0, 2, b"ab"), (1, 2, 1, b"c")]
+    assert spark.sql("SELECT bytestrata_entropy(X'0001'), bytestrata_fnv1a(X''), bytestrata_xxh64(X'')").first()[:2] == (1.0, arrow._signed(0xCBF29CE484222325))
+
+
+def test_command_line_round_trip(spark, tmp_path, capsys):
+    import json
+
+    from bytestrata.__main__ import main
+
+    (tmp_path / "in").mkdir()
+    for k in range(3):
+        (tmp_path / "in" / f"f{k}.txt").write_bytes((b"aaaabbbbccccdddd" * 8 + bytes([97 + k]) * 128) * 6)
+    at = lambda x: f"{tmp_path}/{x}"
+    run = lambda *args: (main(list(args)), [json.loads(x) for x in capsys.readouterr().out.splitlines() if x.startswith("{")])
+    assert run("train", at("in"), at("b.cromdb"))[1][0]["codewords"] == 4
+    assert run("pack", at("in"), at("packed"), "--codebook", at("b.cromdb"))[1][0]["files"] == 3
+    assert len(run("info", at("packed"))[1]) == 3
+    assert run("unpack", at("packed"), at("out"), "--codebook", at("b.cromdb"))[1] == [{"files": 3}]
+    assert run("verify", at("in"), at("out")) == (0, [{"same": True}])
+    hits = run("grep", "aaaabbbb", at("packed"), "--codebook", at("b.cromdb"))[1]
+    assert len(hits) == 18 and all(h["content"].startswith("aaaabbbb") for h in hits)
+    (tmp_path / "out" / "more").write_bytes(b"x")
+    assert run("verify", at("in"), at("out"))[0] == 1
+    assert run("benchmark", at("in"), "--codebook", at("b.cromdb"))[1][0]["runs"] == 1
+
+
+def test_codebook_acceptance_of_a_peer(spark):
+    from bytestrata.operators import archives
+
+    sample = spark.createDataFrame([(1, b"abababab" * 200)], "object_id long, content binary")
+    good = archive.write_codebook([b"abababab" * 8, bytes(64)])
+    trusted = spark.createDataFrame([("p",)], "peer string")
+    assert archives.accepted(sample, good, "p", trusted)[0]
+    assert archives.accepted(sample, good, "q", trusted) == (False, "not trusted")
+    assert archives.accepted(sample, good, "p", trusted, most=10) == (False, "too large")
+    assert not archives.accepted(sample, good[:-1], "p", trusted)[0]
+    assert not archives.accepted(spark.createDataFrame([(1, os.urandom(4000))], "object_id long, content binary"), good, "p", trusted)[0]
+
+
+def test_bpe_matches_plain_merges(spark):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice(["ab", "abc", "a", "aaa", " "]) for _ in range(rng.randint(0, 60))).encode() for _ in range(30)]
+    got = codebook.bpe(spark.createDataFrame(list(enumerate(texts)), "object_id long, content binary"), 290, 12)
+    streams_, want = [[bytes([x]) for x in t] for t in texts], []
+    while len(want) < 34:
+        n = {}
+        for s in streams_:
+            for p in zip(s, s[1:]):
+                if len(p[0]) + len(p[1]) <= 12:
+                    n[p] = n.get(p, 0) + 1
+        if not n or max(n.values()) < 2:
+            break
+        best = min((p for p in n if n[p] == max(n.values())))
+        want.append((best[0] + best[1], n[best]))
+        for s in streams_:
+            i = 0
+            while i + 1 < len(s):
+                if (s[i], s[i + 1]) == best:
+                    s[i : i + 2] = [s[i] + s[i + 1]]
+                i += 1
+    assert [(b, n) for _, b, n in got[256:]] == want and [i for i, _, _ in got] == list(range(len(got)))
+
+
+def test_fnv_of_many_and_of_long_values(spark):
+    values = [b"", b"a", None, bytes(range(200)) * 5] + [bytes([k]) * (k % 9) for k in range(100)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i long, v binary").coalesce(1)
+    got = {r.i: r.h for r in df.select("i", arrow.fnv1a_64("v").alias("h")).collect()}
+    assert got == {i: None if v is None else arrow._signed(arrow.fnv1a(v)) for i, v in enumerate(values)}
