@@ -31,9 +31,14 @@ def merkle_diff(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.where((F.col("na") != F.col("nb")) | ~F.col("ha").eqNullSafe(F.col("hb"))).select("pos")
 
 
-def manifest(entries: DataFrame) -> DataFrame:
+def trusted(messages: DataFrame, peers: DataFrame) -> DataFrame:
+    """Messages whose ``peer`` is among the trusted ones; a null peer is not."""
+    return messages.join(peers.select("peer"), "peer", "left_semi")
+
+
+def manifest(entries: DataFrame, *more) -> DataFrame:
     """``codebook_id``, ``delta_hash``, ``chunk_size`` in order of ``object_id``, ``chunk_idx``."""
-    return entries.select("object_id", "chunk_idx", F.coalesce("codebook_id", F.lit(-1)).alias("codebook_id"), F.sha2("residual", 256).alias("delta_hash"), F.col("size").alias("chunk_size"))
+    return entries.select("object_id", "chunk_idx", F.coalesce("codebook_id", F.lit(-1)).alias("codebook_id"), F.sha2("residual", 256).alias("delta_hash"), F.col("size").alias("chunk_size"), *more)
 
 
 def manifest_json(entries: DataFrame) -> DataFrame:

@@ -243,11 +243,11 @@ def polynomial_generate(spark, d):
     return table(spark, d, "part").select("p_partkey", native.polynomial(F.col("p_partkey"), F.lit(16)).alias("bytes"))
 
 
-@query("SELECT p_partkey, TRUE AS found, TRUE AS same FROM part")
+@query("SELECT p_partkey, string_agg(lpad(lower(hex((((p_partkey * 7919) & 255) * x * x + (((p_partkey * 7919) >> 8) & 255) * x + (((p_partkey * 7919) >> 16) & 255)) % 256)), 2, '0'), '' ORDER BY x) AS bytes FROM part, range(16) t(x) GROUP BY 1")
 def polynomial_find(spark, d):
+    """The bytes that the seed found for a polynomial's bytes gives."""
     made = table(spark, d, "part").withColumn("b", F.unhex(native.polynomial(F.col("p_partkey") * 7919, F.lit(16))))
-    out = made.withColumn("seed", arrow.find_polynomial("b"))
-    return out.select("p_partkey", F.col("seed").isNotNull().alias("found"), (F.unhex(native.polynomial(F.col("seed"), F.lit(16))) == F.col("b")).alias("same"))
+    return made.withColumn("seed", arrow.find_polynomial("b")).select("p_partkey", native.polynomial(F.col("seed"), F.lit(16)).alias("bytes"))
 
 
 # ---- frequencies, codebooks ----
@@ -503,13 +503,13 @@ def unpack_roundtrip(spark, d):
     return back.select("object_id", F.sha2("content", 256).alias("sha")).join(o, "object_id").select("object_id", "sha", (F.col("sha") == F.col("want")).alias("same"))
 
 
-@query(f"WITH {OBJ} SELECT object_id, octet_length(d) AS size, TRUE AS same FROM o WHERE octet_length(d) > 0".replace("octet_length(d) AS size", "CAST(octet_length(d) AS INTEGER) AS size"))
+@query("SELECT doc_id AS object_id, CAST(octet_length(encode(text)) AS INTEGER) AS size, sha256(encode(text)) AS sha, TRUE AS same FROM documents WHERE octet_length(encode(text)) > 0")
 def verify_integrity(spark, d):
     book = _book(spark, d)
     e = packing.decode(packing.route(chunking.fixed(objects(spark, d)), book, packing.PackOptions(mode="stream")), book)
     back = chunking.reassemble(e.select("object_id", "chunk_idx", F.col("decoded").alias("data")))
     o = objects(spark, d).withColumnRenamed("content", "want")
-    return back.join(o, "object_id").select("object_id", F.octet_length("content").alias("size"), (F.sha2("content", 256) == F.sha2("want", 256)).alias("same"))
+    return back.join(o, "object_id").select("object_id", F.octet_length("content").alias("size"), F.sha2("content", 256).alias("sha"), (F.sha2("content", 256) == F.sha2("want", 256)).alias("same"))
 
 
 @query(f"WITH {OBJ}, {ch_sql(128)} SELECT object_id, chunk_idx, CAST(octet_length(data) AS INTEGER) AS delta_size, CAST(sum(octet_length(data)) OVER (PARTITION BY object_id ORDER BY chunk_idx) - octet_length(data) AS BIGINT) AS delta_offset FROM ch")
@@ -654,7 +654,8 @@ MAN = f"WITH {OBJ}, {ch_sql(128)}, man AS (SELECT object_id, chunk_idx, sha256(d
 
 def _manifest(spark, d):
     c = chunking.fixed(objects(spark, d, "documents", "doc_id", "text", "source"))
-    return c.select("object_id", "chunk_idx", F.sha2("data", 256).alias("delta_hash"), F.col("size").alias("chunk_size"), "source", F.col("data").alias("payload"))
+    c = c.withColumn("codebook_id", F.lit(None).cast("long")).withColumn("residual", F.col("data"))
+    return integrity.manifest(c, "source", F.col("data").alias("payload")).drop("codebook_id")
 
 
 @query(f"{MAN}, a AS (SELECT * FROM man WHERE object_id % 3 <> 0), b AS (SELECT * FROM man WHERE object_id % 3 <> 1) SELECT object_id, chunk_idx, delta_hash, 'missing' AS side FROM b WHERE delta_hash NOT IN (SELECT delta_hash FROM a) UNION ALL SELECT object_id, chunk_idx, delta_hash, 'extra' FROM a WHERE delta_hash NOT IN (SELECT delta_hash FROM b)")
@@ -726,7 +727,8 @@ def brain_route(spark, d):
 
 @query("SELECT s_suppkey FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")
 def trust_filter(spark, d):
-    return table(spark, d, "supplier").join(table(spark, d, "nation").where("n_regionkey = 1"), F.col("s_nationkey") == F.col("n_nationkey"), "left_semi").select("s_suppkey")
+    known = table(spark, d, "nation").where("n_regionkey = 1").select(F.col("n_nationkey").alias("peer"))
+    return integrity.trusted(table(spark, d, "supplier").withColumn("peer", F.col("s_nationkey")), known).select("s_suppkey")
 
 
 URLP = r"regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '')"
@@ -787,8 +789,12 @@ def zstd_pool(spark, d):
 # ---- batch twins of the streams ----
 @query("SELECT event_type AS type, count(*) AS messages, CAST(sum(CAST(value * 100 AS BIGINT)) AS BIGINT) AS weight FROM (SELECT DISTINCT ON (event_id) * FROM events) WHERE value > 0 GROUP BY 1".replace("CAST(value * 100 AS BIGINT)", "CAST(floor(value * 100) AS BIGINT)"))
 def gossip_weights(spark, d):
-    e = table(spark, d, "events").dropDuplicates(["event_id"]).where("value > 0")
-    return e.groupBy(F.col("event_type").alias("type")).agg(F.count("*").alias("messages"), F.sum(F.floor(F.col("value") * 100)).alias("weight"))
+    from ..streaming import streams
+
+    e = streams.once(table(spark, d, "events"), ["event_id"])
+    line = F.to_json(F.struct(F.lit("propose").alias("type"), F.col("event_type").alias("pattern"), F.floor(F.col("value") * 100).alias("weight")))
+    w = streams.weights(e.where("value > 0").select(line.alias("value")))
+    return w.select(F.col("pattern").alias("type"), "messages", "weight")
 
 
 WAL = """g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS first, event_id FROM events),
