@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrow, native
 from ..operators import archives, chunking, codebook, integrity, packing, search
-from ..session import ship
+from ..session import ship, spread
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -33,7 +33,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def objects(spark, d, name="documents", key="doc_id", text="text", *more) -> DataFrame:
-    return table(spark, d, name).select(F.col(key).alias("object_id"), *more, native.as_bytes(F.col(text)).alias("content"))
+    return spread(table(spark, d, name).select(F.col(key).alias("object_id"), *more, native.as_bytes(F.col(text)).alias("content")))
 
 
 def hexed(c: str, name: str | None = None):

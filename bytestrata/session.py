@@ -6,7 +6,7 @@ import os
 import tempfile
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -27,6 +27,12 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer parts than there are cores (a file of one row group) dealt over all of them; any other as it is."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def local_session(name: str = "bytestrata", cpus: str = "*", **conf: str) -> SparkSession:
     """A session in this process, for tests, the bench and the command line."""
     builder = SparkSession.builder.master(f"local[{cpus}]").appName(name)
