@@ -53,7 +53,10 @@ OPERATORS = {
     "op9": lambda s, d: line_dedup.strip_boilerplate(d),
     "op10": lambda s, d: sharding.shard(d),
 }
-STAGES = {"quality": quality.keep_good, "lines": line_dedup.without_boilerplate, "near": lambda d: near_dedup.near_duplicates(d).where("first").select("row.*")}
+STAGES = {
+    "quality": quality.keep_good, "lines": line_dedup.without_boilerplate, "near": lambda d: near_dedup.near_duplicates(d).where("first").select("row.*"),
+    "decontamination": lambda d: decontam.contamination(d, bench(d.sparkSession)).where("size(matches) = 0").select("row.*"),
+}
 
 
 @pytest.mark.parametrize("name", OPERATORS)
@@ -67,6 +70,15 @@ def test_awkward_rows(spark, name):
     if name == "op2":
         assert [r.n_words for r in out if r.doc_id in (1, 2, 3)] == [0, 0, 0]
         assert len({r for r in out if r.doc_id == 6}) == 1
+    if name == "op3":
+        assert {r.row.doc_id for r in out if r.matches} == set() and len({tuple(r.matches) for r in out if r.row.doc_id == 6}) == 1
+    if name == "op4":
+        assert all(r.severity == 0 and r.p_toxic == 0 and r.grade == 0 for r in out if r.doc_id in (1, 2, 3, 5))
+        assert len({r for r in out if r.doc_id == 6}) == 1
+    if name == "op5":
+        assert all((r.host, r.path, r.rule, r.verdict) == ("", "", None, "allow") for r in out)
+    if name == "op7":
+        assert all(r.doc_id not in (1, 2, 3) and 0 <= r.p_secret <= 1 for r in out)
     if name == "op6":
         got = {r.row.doc_id: r for r in out}
         assert all(got[i].n_shingles == 0 and got[i].kept for i in (1, 2, 3))
@@ -93,6 +105,40 @@ def test_stages_keep_columns(spark, name):
     assert STAGES[name](empty(spark)).count() == 0
 
 
+def clashing(df):
+    return df.withColumns({c: F.lit(1) for c in CLASH if c not in df.columns})
+
+
+def test_other_tables_with_clashing_columns_and_repeats(spark):
+    rng = random.Random(14)
+    docs = spark.createDataFrame([(i, prose(rng, 30) + (" vile rotten" if i % 2 else "")) for i in range(80)], "doc_id long, text string")
+    marks = labels(spark, [(i, 1, i % 2) for i in range(80)])
+    twice = clashing(marks.unionByName(marks))
+    flags = lambda m: sorted((r.doc_id, r.toxic) for r in toxicity.toxicity(docs, m).collect())
+    assert flags(marks) == flags(twice)
+    item = "the old miller of the lower valley sold nine sacks of flour to a baker"
+    text = spark.createDataFrame([(1, f"we read: {item}."), (1, f"we read: {item}."), (2, "nothing")], "doc_id long, text string")
+    items = clashing(bench(spark, [(5, item), (5, item), (6, None)]))
+    assert [[m.item_id for m in r.matches] for r in decontam.contamination(text, items).orderBy("row.doc_id").collect()] == [[5, 5], [5, 5], []]
+    pages = spark.createDataFrame([(1, "http://a.net/x/1"), (1, "http://a.net/x/1"), (2, "http://a.net/y/2"), (None, None)], "page_id long, url string")
+    out = url_filter.url_filter(clashing(pages), twice).collect()
+    assert len(out) == 4 and len({r for r in out if r.page_id == 1}) == 1
+    found = clashing(spark.createDataFrame([("AKIA" + "Q7" * 8, "a", "b", 1), ("plain/word/2024.html", "a", "b", 0)] * 20 + [(None, None, None, 1), ("x", None, None, None)], "token string, before string, after string, secret int"))
+    got = secrets.secret_scan(spark.createDataFrame([(1, "AKIA" + "Z8" * 8 + " and")], "doc_id long, text string"), found).collect()
+    assert [r.is_secret for r in got] == [True]
+    none = secrets.secret_scan(spark.createDataFrame([(1, "AKIA" + "Z8" * 8)], "doc_id long, text string"), found.where("secret = 1")).collect()
+    assert [(r.p_secret, r.is_secret) for r in none] == [(None, True)]
+
+
+def test_ties(spark):
+    # equal scores of two languages: the first by name; labels of one kind: all zero; equal purity and limit: allow
+    docs = spark.createDataFrame([(i, "same words here", "ab"[i % 2]) for i in range(40)], "doc_id long, text string, lang string")
+    assert {r.lang_pred for r in langid.language_id(docs).collect()} <= {"a", "b"}
+    assert {r.severity for r in toxicity.toxicity(docs, labels(spark, [(i, 1, 0) for i in range(40)])).collect()} == {0.0}
+    pages = spark.createDataFrame([(i, f"http://a.net/x/{i}") for i in range(20)], "page_id long, url string")
+    assert {r.verdict for r in url_filter.url_filter(pages, labels(spark, [(i, i % 2, 0) for i in range(20)])).collect()} == {"allow"}
+
+
 def test_components_of_chains_stars_and_cycles(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, i) for i in range(101, 160)] + [(200, 201), (201, 202), (202, 200), (300, 300)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -383,6 +429,14 @@ def test_secret_scan_separates(spark):
     assert out["AKIASJDZWJNP"] and out["password=b7d"] and out["1beb58b8af68"] and not out["404189497460"] and not out["AKIAIOSFODNN"]
 
 
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    empty(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    bench(spark).write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_pipeline_runs_on_awkward_rows(spark, tmp_path):
     import corpus_pipeline
 
