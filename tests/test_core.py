@@ -238,9 +238,9 @@ def test_queries_over_all_documents(spark, tmp_path):
 
     docs, d = whole_documents(spark, tmp_path), str(tmp_path)
     full = {b[i : i + 128] for b in docs.values() for i in range(0, len(b) - 127, 128)}
-    for name in ("match_linear_all", "match_tiered_all"):
+    for name in ("match_linear", "match_tiered"):
         assert sorted(r.data for r in QUERIES[name](spark, d).collect()) == sorted(x.hex() for x in full)
-    assert sorted(r.object_id for r in QUERIES["detect_category_head"](spark, d).collect()) == sorted(docs)
+    assert sorted(r.object_id for r in QUERIES["detect_category"](spark, d).collect()) == sorted(docs)
     fixed = {(i, b[j : j + 64]) for i, b in docs.items() for j in range(0, len(b), 64)}
     moved = {(i, (b"!" + b)[j : j + 64]) for i, b in docs.items() for j in range(0, len(b) + 1, 64)}
     got = {r.chunker: (r.shared, r.ratio) for r in QUERIES["cdc_shift_resistance"](spark, d).collect()}
@@ -253,7 +253,7 @@ def test_chunkers_and_residuals_over_whole_documents(spark, tmp_path):
     from bytestrata.plans.catalogue import QUERIES
 
     docs, d = whole_documents(spark, tmp_path), str(tmp_path)
-    for name in ("chunk_fastcdc_documents", "chunk_cdc_documents"):
+    for name in ("chunk_fastcdc", "chunk_cdc"):
         total = dict.fromkeys(docs, 0)
         for r in QUERIES[name](spark, d).collect():
             total[r.object_id] += r["size"]
@@ -261,9 +261,9 @@ def test_chunkers_and_residuals_over_whole_documents(spark, tmp_path):
     assert {r.object_id: r.sha256 for r in QUERIES["hash_suite"](spark, d).collect()} == {i: hashlib.sha256(b).hexdigest() for i, b in docs.items()}
     chunks = {(i, k): b[k * 128 : k * 128 + 128] for i, b in docs.items() for k in range(-(-len(b) // 128))}
     both = {(i, k): bytes(x ^ y for x, y in zip(c, chunks[i + 1, k])) for (i, k), c in chunks.items() if len(chunks.get((i + 1, k), b"")) == len(c)}
-    assert {(r.object_id, r.chunk_idx): r.x for r in QUERIES["xor_residual_chunks"](spark, d).collect()} == {k: v.hex() for k, v in both.items()}
-    assert {(r.a, r.chunk_idx): r.distance for r in QUERIES["hamming_pairs_chunks"](spark, d).collect()} == {k: sum(x.bit_count() for x in v) for k, v in both.items()}
-    assert {(r.object_id, r.chunk_idx): r.patch_same for r in QUERIES["patch_roundtrip_chunks"](spark, d).collect()} == dict.fromkeys(chunks, True)
+    assert {(r.object_id, r.chunk_idx): r.x for r in QUERIES["xor_residual"](spark, d).collect()} == {k: v.hex() for k, v in both.items()}
+    assert {(r.a, r.chunk_idx): r.distance for r in QUERIES["hamming_pairs"](spark, d).collect()} == {k: sum(x.bit_count() for x in v) for k, v in both.items()}
+    assert {(r.object_id, r.chunk_idx): r.sha for r in QUERIES["patch_roundtrip"](spark, d).collect()} == {k: hashlib.sha256(c).hexdigest() for k, c in chunks.items()}
 
 
 def test_multipass_weighs_restricts_and_matches_again(spark, tmp_path):
@@ -274,8 +274,8 @@ def test_multipass_weighs_restricts_and_matches_again(spark, tmp_path):
 
     docs = whole_documents(spark, tmp_path)
     want = Counter(b[i : i + 128].hex() for b in docs.values() for i in range(0, len(b), 128))
-    assert {r.data: r.n for r in QUERIES["match_multipass_restricted"](spark, str(tmp_path)).collect()} == want
-    few = spark.createDataFrame([((0, 5, 3), 1), ((0, 4, 3), 9), ((0, 5, 3), 1)], f"match {search.MATCH}, n long")
+    assert {r.data: r.n for r in QUERIES["match_multipass"](spark, str(tmp_path)).collect()} == want
+    few = spark.createDataFrame([((0, 5, 3, None), 1), ((0, 4, 3, None), 9), ((0, 5, 3, None), 1)], f"match {search.MATCH}, n long")
     assert [(r.codebook_id, r.used) for r in search.most_used(few, 1, "n").collect()] == [(4, 9)]
 
 
