@@ -198,7 +198,7 @@ def pool_entropy(archives: DataFrame) -> DataFrame:
     return out.select("object_id", F.round("entropy", 6).alias("entropy"), F.round(F.col("entropy") / 8 * 100, 6).alias("randomness"))
 
 
-def export(archives: DataFrame, folder: str, suffix: str = ".crom") -> DataFrame:
+def export(archives: DataFrame, folder: str, suffix: str = ".bin") -> DataFrame:
     """Writes each archive to a file of its own in ``folder`` (a path or URI that every worker can write), named by
     the last part of its ``object_id``; returns ``path`` and ``bytes``. A file written twice is the same."""
     ship(archives.sparkSession)

@@ -172,7 +172,7 @@ def lookup_node(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
 _NAMES = (("log", "text_logs"), ("sql", "text_sql"), ("code", "text_code"), ("img", "raw_image"), ("image", "raw_image"), ("bmp", "raw_image"), ("tiff", "raw_image"), ("svg", "raw_image"), ("universal", "universal"))
 
 
-def brain_map(mapping: DataFrame, names: DataFrame, suffix: str = ".cromdb") -> DataFrame:
+def brain_map(mapping: DataFrame, names: DataFrame, suffix: str = archive.CODEBOOK_SUFFIX) -> DataFrame:
     """``category``, ``brain``: a given map, and for categories it lacks the first file (by name) that tells of them."""
     low = F.lower("name")
     kind = F.coalesce(*[F.when(low.contains(part), F.lit(category)) for part, category in _NAMES])

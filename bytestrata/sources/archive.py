@@ -113,8 +113,8 @@ def write_mutation(timestamp: int, size: int) -> bytes:
 
 
 # ---- codebooks ----
-# The codebook header's magic and sizes, and the chunk indexes that stand for no codebook.
-CODEBOOK_MAGIC, CODEBOOK_HEADER = b"CROMDB", 512
+# The codebook's file suffix, its header's magic and sizes, and the chunk indexes that stand for no codebook.
+CODEBOOK_SUFFIX, CODEBOOK_MAGIC, CODEBOOK_HEADER = ".cromdb", b"CROMDB", 512
 LITERAL_INDEX, MICRO_INDEX, FRACTAL_INDEX = 255, 254, 253
 CHUNKS_PER_BLOCK = 131_072
 

@@ -287,8 +287,8 @@ def test_codebook_file_round_trip_and_errors(spark, tmp_path):
     patterns = [bytes([i]) * 8 for i in range(5)]
     data = archive.write_codebook(patterns)
     assert len(data) == 512 + 40 and archive.parse_codebook(data)[1] == patterns
-    archives.write_file(spark, f"{tmp_path}/b.cromdb", data)
-    book = archives.read_codebook(spark, f"{tmp_path}/b.cromdb")
+    archives.write_file(spark, f"{tmp_path}/b.book", data)
+    book = archives.read_codebook(spark, f"{tmp_path}/b.book")
     assert [(r.codebook_id, r.pattern) for r in book.orderBy("codebook_id").collect()] == list(enumerate(map(bytearray, patterns)))
     assert archives.codebook_bytes(book) == data and archives.swap(book, book) is book
     other = archives.codebook_of(spark, archive.write_codebook(patterns[::-1]))
@@ -355,11 +355,13 @@ def test_manifests_in_both_forms(spark):
 def test_brain_map_from_folder(spark, tmp_path):
     from bytestrata.operators import integrity
 
-    for name in ("brain_LOGS.cromdb", "a_sql.cromdb", "b_sql.cromdb", "my_img.cromdb", "other.txt", "brain_universal.cromdb"):
-        (tmp_path / name).write_bytes(b"x")
-    (tmp_path / "brains.json").write_text('{"text_code": "code.cromdb", "raw_image": "given.cromdb"}')
+    end = archive.CODEBOOK_SUFFIX
+    for name in ("brain_LOGS", "a_sql", "b_sql", "my_img", "brain_universal"):
+        (tmp_path / f"{name}{end}").write_bytes(b"x")
+    (tmp_path / "a_log.txt").write_bytes(b"x")
+    (tmp_path / "brains.json").write_text('{"text_code": "code", "raw_image": "given"}')
     got = {r.category: r.brain for r in integrity.read_brain_map(spark, str(tmp_path)).collect()}
-    assert got == {"text_logs": "brain_LOGS.cromdb", "text_sql": "a_sql.cromdb", "raw_image": "given.cromdb", "text_code": "code.cromdb", "universal": "brain_universal.cromdb"}
+    assert got == {"text_logs": f"brain_LOGS{end}", "text_sql": f"a_sql{end}", "raw_image": "given", "text_code": "code", "universal": f"brain_universal{end}"}
 
 
 def test_keys_and_small_functions(spark):
@@ -420,16 +422,16 @@ def test_command_line_round_trip(spark, tmp_path, capsys):
         (tmp_path / "in" / f"f{k}.txt").write_bytes((b"aaaabbbbccccdddd" * 8 + bytes([97 + k]) * 128) * 6)
     at = lambda x: f"{tmp_path}/{x}"
     run = lambda *args: (main(list(args)), [json.loads(x) for x in capsys.readouterr().out.splitlines() if x.startswith("{")])
-    assert run("train", at("in"), at("b.cromdb"))[1][0]["codewords"] == 4
-    assert run("pack", at("in"), at("packed"), "--codebook", at("b.cromdb"))[1][0]["files"] == 3
+    assert run("train", at("in"), at("b.book"))[1][0]["codewords"] == 4
+    assert run("pack", at("in"), at("packed"), "--codebook", at("b.book"))[1][0]["files"] == 3
     assert len(run("info", at("packed"))[1]) == 3
-    assert run("unpack", at("packed"), at("out"), "--codebook", at("b.cromdb"))[1] == [{"files": 3}]
+    assert run("unpack", at("packed"), at("out"), "--codebook", at("b.book"))[1] == [{"files": 3}]
     assert run("verify", at("in"), at("out")) == (0, [{"same": True}])
-    hits = run("grep", "aaaabbbb", at("packed"), "--codebook", at("b.cromdb"))[1]
+    hits = run("grep", "aaaabbbb", at("packed"), "--codebook", at("b.book"))[1]
     assert len(hits) == 18 and all(h["content"].startswith("aaaabbbb") for h in hits)
     (tmp_path / "out" / "more").write_bytes(b"x")
     assert run("verify", at("in"), at("out"))[0] == 1
-    assert run("benchmark", at("in"), "--codebook", at("b.cromdb"))[1][0]["runs"] == 1
+    assert run("benchmark", at("in"), "--codebook", at("b.book"))[1][0]["runs"] == 1
 
 
 def test_codebook_acceptance_of_a_peer(spark):
