@@ -7,12 +7,11 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import spread
+from ..session import shuffles_dropped, spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,23 +35,10 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-@contextmanager
-def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
-    """Spark deletes the shuffle files of a query that starts in here as soon as it ends: its
-    result is in the shared folder, so nothing reads them again."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, "false")
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def cut(df: DataFrame) -> DataFrame:
     """``df``, computed once and kept in the shared folder, with its lineage cut."""
     shared_dir(df.sparkSession)
-    with _shuffles_dropped(df.sparkSession):
+    with shuffles_dropped(df.sparkSession):
         return df.select("*").checkpoint(eager=True)
 
 
@@ -67,7 +53,7 @@ def written(df: DataFrame, compression: str = "snappy") -> DataFrame:
     if not _scratch:
         atexit.register(release, spark)
     _scratch.add(path)
-    with _shuffles_dropped(spark):
+    with shuffles_dropped(spark):
         df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
