@@ -20,7 +20,6 @@ from ..sources import archive
 from . import chunking, packing
 
 HEAD = 65_536
-_BLOCK = "object_id {kind}, block_id int, chunks int, table binary, pool binary"
 ENTRY = "object_id {kind}, chunk_idx int, codebook_index int, codebook_id bigint, encoding string, size int, delta_offset bigint, delta_size int, residual binary"
 
 
@@ -36,29 +35,39 @@ def _kind(df: DataFrame) -> str:
     return df.schema["object_id"].dataType.simpleString()
 
 
-def blocks(entries: DataFrame) -> DataFrame:
-    """``object_id``, ``block_id``, ``chunks``, ``table``, ``pool``: compressed blocks of chunk entries."""
-    ship(entries.sparkSession)
-    named = _BLOCK.format(kind=_kind(entries))
+def _block(t: pa.Table, at: int) -> tuple[bytes, bytes, int]:
+    """Table and compressed pool of a block's entries, and the residual bytes after it; ``at``: those before it."""
+    col = lambda c: t.column(c).combine_chunks()
+    encoding = np.array(col("encoding").to_pylist())
+    rows = np.zeros(len(t), archive._entry(7))
+    ids = col("codebook_id").fill_null(0).to_numpy().astype(np.uint64)
+    rows["codebook_id"] = np.where(encoding == "literal", np.uint64(archive.LITERAL_ID), np.where(encoding == "patch", ids | np.uint64(archive.PATCH_FLAG), ids))
+    index = col("codebook_index").fill_null(archive.LITERAL_INDEX).to_numpy()
+    rows["codebook_index"] = np.where(encoding == "fractal", archive.FRACTAL_INDEX, index)
+    rows["delta_size"] = col("delta_size").to_numpy()
+    ends = at + np.cumsum(rows["delta_size"], dtype=np.int64)
+    rows["delta_offset"] = ends - rows["delta_size"]
+    rows["original_size"] = col("size").to_numpy()
+    return rows.tobytes(), arrow.compress(b"".join(col("residual").to_pylist())), int(ends[-1])
 
-    def pack(t: pa.Table) -> pa.Table:
-        t = t.sort_by("chunk_idx")
-        col = lambda c: t.column(c).combine_chunks()
-        encoding = np.array(col("encoding").to_pylist())
-        rows = np.zeros(len(t), archive._entry(7))
-        ids = col("codebook_id").fill_null(0).to_numpy().astype(np.uint64)
-        rows["codebook_id"] = np.where(encoding == "literal", np.uint64(archive.LITERAL_ID), np.where(encoding == "patch", ids | np.uint64(archive.PATCH_FLAG), ids))
-        index = col("codebook_index").fill_null(archive.LITERAL_INDEX).to_numpy()
-        rows["codebook_index"] = np.where(encoding == "fractal", archive.FRACTAL_INDEX, index)
-        for name in ("delta_offset", "delta_size"):
-            rows[name] = col(name).to_numpy()
-        rows["original_size"] = col("size").to_numpy()
-        pool = arrow.compress(b"".join(col("residual").to_pylist()))
-        return pa.table({"object_id": t.column("object_id")[:1], "block_id": pa.array([t.column("block_id")[0].as_py()], pa.int32()), "chunks": pa.array([len(t)], pa.int32()), "table": pa.array([rows.tobytes()]), "pool": pa.array([pool])})
 
-    e = packing.offsets(entries).withColumn("block_id", F.floor(F.col("chunk_idx") / archive.CHUNKS_PER_BLOCK).cast("int"))
-    e = e.select("object_id", "block_id", "chunk_idx", "codebook_index", "codebook_id", "encoding", "size", "delta_offset", "delta_size", "residual")
-    return e.groupBy("object_id", "block_id").applyInArrow(pack, named)
+_PACKED = "object_id {kind}, archive binary, passthrough boolean, original bigint"
+_NEEDED = ["codebook_index", "codebook_id", "encoding", "size", "delta_size", "residual"]
+
+
+def _archive(content: bytes, some: list[tuple[bytes, bytes, int]], options: packing.PackOptions) -> tuple[bytes, bool]:
+    """An object's archive from its blocks (table, pool, chunks), none if it passes through; whether it does."""
+    import hashlib
+
+    h = archive.Header(7, passthrough=not some, original_hash=hashlib.sha256(content).digest(), original_size=len(content), chunk_size=options.chunk_size)
+    if some:
+        h.chunk_count = sum(n for _, _, n in some)
+        h.merkle_root = archive.merkle([hashlib.sha256(p).digest() for _, p, _ in some])
+        data = archive.write_archive(h, b"".join(t for t, _, _ in some), [p for _, p, _ in some])
+        if options.mode == "edge" or not len(data) > len(content) > archive.V8_SIZE:
+            return data, False
+        h = archive.Header(7, passthrough=True, original_hash=h.original_hash, original_size=h.original_size, chunk_size=h.chunk_size, merkle_root=h.merkle_root)
+    return archive.write_header(h) + content, True
 
 
 def pack(objects: DataFrame, books, options: packing.PackOptions = packing.PackOptions()) -> DataFrame:
@@ -66,35 +75,64 @@ def pack(objects: DataFrame, books, options: packing.PackOptions = packing.PackO
 
     Objects that are small, compressed or of low entropy pass through; one whose archive would be
     larger than itself does so afterwards (not in edge mode). Null content: an empty object.
+    Nothing is shuffled: an object's chunks follow each other in its task, which closes its archive
+    when the next object begins, so that objects with one id stay apart too.
     """
     ship(objects.sparkSession)
+    kind = _kind(objects)
     o = objects.select("object_id", F.coalesce("content", F.unhex(F.lit(""))).alias("content"))
     o = o.withColumn("passthrough", passthrough(F.col("content"), options.mode))
-    entries = packing.route(chunking.fixed(o.where("not passthrough").select("object_id", "content"), options.chunk_size), books, options)
-    parts = blocks(entries).groupBy("object_id").agg(F.array_sort(F.collect_list(F.struct("block_id", "chunks", "table", "pool"))).alias("parts"))
-    mode, size = options.mode, options.chunk_size
 
-    @F.arrow_udf("struct<archive:binary,passthrough:boolean>")
-    def build(contents: pa.Array, flags: pa.Array, parts: pa.Array) -> pa.Array:
-        import hashlib
+    def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            contents = batch.column(1)
+            for k in range(len(batch)):  # one at a time: an archive may have 2 GB
+                content = contents[k].as_py()
+                data, flag = _archive(content, [], options)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.array([data], pa.binary()), pa.array([flag]), pa.array([len(content)], pa.int64())], ["object_id", "archive", "passthrough", "original"])
+
+    def built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row, ident, parts, content, wait, have, at = None, None, [], [], [], 0, 0
+
+        def close() -> None:
+            """The waiting entries become a block."""
+            nonlocal wait, have, at
+            if have:
+                table, pool, at = _block(pa.Table.from_batches(wait), at)
+                parts.append((table, pool, have))
+                wait, have = [], 0
+
+        def done() -> pa.RecordBatch:
+            close()
+            whole = b"".join(content)
+            data, flag = _archive(whole, parts, options)
+            return pa.RecordBatch.from_arrays([ident, pa.array([data], pa.binary()), pa.array([flag]), pa.array([len(whole)], pa.int64())], ["object_id", "archive", "passthrough", "original"])
 
-        out = []
-        for content, flag, some in zip(contents, flags, parts):
-            content, some = content.as_py(), some.as_py() or []
-            h = archive.Header(7, passthrough=flag.as_py() or not some, original_hash=hashlib.sha256(content).digest(), original_size=len(content), chunk_size=size)
-            if some:
-                h.chunk_count = sum(p["chunks"] for p in some)
-                h.merkle_root = archive.merkle([hashlib.sha256(p["pool"]).digest() for p in some])
-                data = archive.write_archive(h, b"".join(p["table"] for p in some), [p["pool"] for p in some])
-                if mode != "edge" and len(data) > len(content) > archive.V8_SIZE:
-                    h.passthrough, h.chunk_count, some = True, 0, []
-            if not some:
-                data = archive.write_header(h) + content
-            out.append({"archive": data, "passthrough": h.passthrough})
-        return pa.array(out, pa.struct([("archive", pa.binary()), ("passthrough", pa.bool_())]))
-
-    o = o.join(parts, "object_id", "left").select("object_id", F.octet_length("content").cast("long").alias("original"), build("content", "passthrough", "parts").alias("a"))
-    return o.select("object_id", "a.archive", "a.passthrough", "original", F.octet_length("a.archive").cast("long").alias("packed"))
+        for batch in batches:
+            rows = batch.column(0).to_numpy()
+            ends = [*(np.flatnonzero(np.diff(rows)) + 1).tolist(), len(rows)]
+            for lo, hi in zip([0, *ends], ends):
+                if lo == hi:
+                    continue
+                if row != rows[lo]:
+                    if row is not None:
+                        yield done()
+                    row, ident, parts, content, wait, have, at = rows[lo], batch.column(1).slice(lo, 1), [], [], [], 0, 0
+                content.append(b"".join(batch.column(2).slice(lo, hi - lo).to_pylist()))
+                while lo < hi:
+                    n = min(hi - lo, archive.CHUNKS_PER_BLOCK - have)
+                    wait.append(batch.slice(lo, n).select(_NEEDED))
+                    have, lo = have + n, lo + n
+                    if have == archive.CHUNKS_PER_BLOCK:
+                        close()
+        if row is not None:
+            yield done()
+
+    cols = _PACKED.format(kind=kind)
+    chunks = chunking.fixed(o.where("not passthrough").select(F.monotonically_increasing_id().alias("_row"), "object_id", "content"), options.chunk_size)
+    entries = packing.route(chunks, books, options).select("_row", "object_id", "data", *_NEEDED)
+    out = o.where("passthrough").select("object_id", "content").mapInArrow(stored, cols).unionByName(entries.mapInArrow(built, cols))
+    return out.select("object_id", "archive", "passthrough", "original", F.octet_length("archive").cast("long").alias("packed"))
 
 
 HEADER = "version int, passthrough boolean, original_hash binary, original_size bigint, chunk_count bigint, chunk_size bigint, merkle_root binary, error string"

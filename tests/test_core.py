@@ -476,3 +476,47 @@ def test_fnv_of_many_and_of_long_values(spark):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i long, v binary").coalesce(1)
     got = {r.i: r.h for r in df.select("i", arrow.fnv1a_64("v").alias("h")).collect()}
     assert got == {i: None if v is None else arrow._signed(arrow.fnv1a(v)) for i, v in enumerate(values)}
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_of_chunks_do_not_carry_their_object(spark):
+    import re
+
+    df = spark.createDataFrame([(1, b"x" * 1000), (2, None), (3, b"")], "object_id long, content binary")
+    for c in (chunking.fixed(df), chunking.cdc(df, 64)):
+        kept = re.search(r"Generate posexplode\(.*\), \[([^\]]*)\], false", _plan(c.select("object_id", arrow.shannon_entropy("data"))))[1]
+        assert "object_id" in kept and "content" not in kept, kept
+
+
+def test_routes_and_archives_shuffle_nothing(spark):
+    import hashlib
+
+    from bytestrata.operators import archives
+
+    rng = random.Random(5)
+    some = [bytes(rng.choice(b"abcdefgh \n") for _ in range(n)) for n in (300, 900, 64, 0, 700, 900)]
+    # one id twice, with other bytes; a null; an object of one byte over and over
+    rows = [(1, some[0]), (1, some[1]), (2, some[2]), (3, some[3]), (4, None), (5, some[4]), (6, b"z" * 5000), (7, some[5]), (7, some[5])]
+    df = spark.createDataFrame(rows, "object_id long, content binary")
+    book = search.kept(codebook.train(chunking.fixed(df, 8), 8, 16, 4))
+    routed = packing.route(chunking.fixed(df, 8), book, packing.PackOptions(chunk_size=8))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)  # objects reach over batches
+    try:
+        for mode in ("archive", "edge", "stream"):
+            packed = archives.pack(df, book, packing.PackOptions(mode=mode, chunk_size=8))
+            assert "Exchange" not in _plan(packed)
+            got = packed.collect()
+            assert sorted((r.object_id, r.original) for r in got) == sorted((i, len(b or b"")) for i, b in rows)
+            heads = archives.metadata(packed).collect()
+            assert sorted((r.object_id, bytes(r.original_hash)) for r in heads) == sorted((i, hashlib.sha256(b or b"").digest()) for i, b in rows)
+            if mode != "edge":
+                one = packed.where("object_id in (2, 5, 6)")
+                assert {r.object_id: bytes(r.content or b"") for r in archives.unpack(one, book).collect()} == {2: some[2], 5: some[4], 6: b"z" * 5000}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert "Exchange" not in _plan(routed) and _plan(routed).count("ArrowEvalPython") <= 2
+    assert routed.count() == sum(-(-len(b or b"") // 8) for _, b in rows)
