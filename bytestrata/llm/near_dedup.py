@@ -29,6 +29,7 @@ from .common import cut, written
 from .components import components
 
 ROWS, BANDS, CENTRES, FINE = 6, 48, 4, 2048
+SIDE = 64, 256
 SKETCH = T.StructType([T.StructField("n", T.LongType()), T.StructField("cls", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("bits", T.ArrayType(T.LongType()))])
 _U = np.uint64
 
@@ -169,6 +170,49 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
     return pairs.join(a, "a").join(b, "b").where(verify_udf(n, percent)("ta", "tb")).select("a", "b")
 
 
+def linked_in_block(sets: dict, wanted: dict, percent: int) -> list[tuple]:
+    """Those (y, x) of ``wanted`` (y to its x's) whose ``sets`` are similar enough: shingles become numbers, and one
+    look-up table for each y counts what all its x's have in common with it."""
+    number: dict = {}
+    coded = {c: np.fromiter((number.setdefault(g, len(number)) for g in some), np.int64, len(some)) for c, some in sets.items()}
+    mark, out = np.zeros(len(number), np.int64), []
+    for y, xs in wanted.items():
+        mark[coded[y]] = 1
+        size = np.array([len(coded[x]) for x in xs])
+        both = np.add.reduceat(mark[np.concatenate([coded[x] for x in xs])], np.concatenate([[0], np.cumsum(size)[:-1]]))
+        out += [(y, xs[k]) for k in np.flatnonzero(100 * both >= percent * (size + len(coded[y]) - both)).tolist()]
+        mark[coded[y]] = 0
+    return out
+
+
+def _verified_in_blocks(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links among ``pairs`` (``y``, ``x``, ``comp``: that of x) as ``a``, ``b``, by full sets.
+
+    Many near misses of one large component need its texts again and again; so the pairs of a component are
+    dealt into blocks of about ``SIDE`` of its y and x, and a block gets each of its texts once.
+    """
+    ys, xs = SIDE
+    some = pairs.groupBy("comp").agg(F.ceil(F.approx_count_distinct("y") / ys).alias("ny"), F.ceil(F.approx_count_distinct("x") / xs).alias("nx"))
+    at = pairs.join(some, "comp").select("comp", F.pmod(F.xxhash64("y"), "ny").alias("yb"), F.pmod(F.xxhash64("x", F.lit(1)), "nx").alias("xb"), "y", "x")
+    at = cut(at)
+    block = ["comp", "yb", "xb"]
+    has = at.select(*block, F.col("y").alias("cls")).unionByName(at.select(*block, F.col("x").alias("cls"))).distinct()
+    has = has.join(texts, "cls").select(*block, "cls", "text", F.lit(None).cast("array<long>").alias("xs"))
+    wants = at.groupBy(*block, "y").agg(F.collect_list("x").alias("xs")).select(*block, F.col("y").alias("cls"), F.lit(None).cast("binary").alias("text"), "xs")
+
+    def link(t: pa.Table) -> pa.Table:
+        sets, wanted = {}, {}
+        for c, text, some in zip(*(t.column(k).to_pylist() for k in ("cls", "text", "xs"))):
+            if some is None:
+                sets[c] = shingle_set(text, n)
+            else:
+                wanted[c] = some
+        out = linked_in_block(sets, wanted, percent)
+        return pa.table({"a": pa.array([min(p) for p in out], pa.int64()), "b": pa.array([max(p) for p in out], pa.int64())})
+
+    return has.unionByName(wants).groupBy(*block).applyInArrow(link, "a long, b long")
+
+
 def _pair(x: str, y: str, or_x: str | None = None, or_y: str | None = None) -> list:
     x, y = F.coalesce(x, or_x or x), F.coalesce(y, or_y or y)
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
@@ -243,13 +287,16 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, row
             # a pair meets in every bucket that both have, and from both sides: it counts in the least of them, from its smaller class
             once = ((F.col("comp") == F.col("most")) | (F.col("x.cls") < F.col("y.cls"))) & (F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("bucket"))
             similar = alike("x.fine", "y.fine", 320, FINE // 64) & once & long_alike("x.fine", "y.fine", FINE)
-            pairs = few.join(at, "bucket").where((F.col("comp") != F.col("cy")) & sized("x", "y") & similar).select(*_pair("x.cls", "y.cls"))
+            pairs = few.join(at, "bucket").where((F.col("comp") != F.col("cy")) & sized("x", "y") & similar).select(*_pair("x.cls", "y.cls"), F.col("y.cls").alias("y"), F.col("x.cls").alias("x"), "comp")
         else:  # those with a centre
             pairs = at.where((F.col("comp") != F.col("c.comp")) & sized("x", "c.x") & alike("x.bits", "c.x.bits", rows * bands, -(-rows * bands // 64))).select(*_pair("x.cls", "c.x.cls"))
-        pairs = pairs.distinct()
+        pairs = pairs.dropDuplicates(["a", "b"])
         pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        links = cut(_verified(pairs, texts, shingle, percent))
+        if last:
+            links = cut(_verified_in_blocks(pairs.select("y", "x", "comp"), texts, shingle, percent))
+        else:
+            tried = pairs if tried is None else tried.unionByName(pairs)
+            links = cut(_verified(pairs, texts, shingle, percent))
         if root is not None:  # of these, only what joins two components matters
             known = root.withColumnRenamed("node", "a").withColumnRenamed("root", "ra")
             links = links.join(known, "a", "left").join(known.select(F.col("a").alias("b"), F.col("ra").alias("rb")), "b", "left")

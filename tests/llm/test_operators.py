@@ -444,3 +444,23 @@ def test_pipeline_runs_on_awkward_rows(spark, tmp_path):
     bench(spark).write.parquet(f"{tmp_path}/benchmark.parquet")
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert {"doc_id", "sequence_id", "offset"} <= set(out.columns) and out.count() > 0
+
+
+def test_near_misses_of_a_large_component_are_confirmed_in_blocks(spark):
+    import random
+
+    from bytestrata.llm import near_dedup
+
+    rng = random.Random(11)
+    sets = {c: {(b"s%d" % rng.randrange(60),) for _ in range(rng.randrange(20, 60))} for c in range(80)}
+    wanted = {y: [x for x in range(80) if x != y] for y in range(0, 80, 7)}
+    want = {(y, x) for y, xs in wanted.items() for x in xs if 100 * len(sets[y] & sets[x]) >= 50 * len(sets[y] | sets[x])}
+    assert 0 < len(want) < 12 * 79 and set(near_dedup.linked_in_block(sets, wanted, 50)) == want
+
+    words = [f"w{i}" for i in range(60)]
+    texts = spark.createDataFrame([(c, bytearray(" ".join(rng.choice(words[c % 3 :: 3]) for _ in range(40)).encode())) for c in range(700)], "cls long, text binary")
+    pairs = spark.createDataFrame([(y, x, 600 + x % 2) for y in range(100) for x in range(100, 700, 3)], "y long, x long, comp long")
+    known = {r.cls: near_dedup.shingle_set(bytes(r.text), 1) for r in texts.collect()}
+    want = {(y, x) for y in range(100) for x in range(100, 700, 3) if 100 * len(known[y] & known[x]) >= 80 * len(known[y] | known[x])}
+    got = near_dedup._verified_in_blocks(pairs, texts, 1, 80).collect()
+    assert want and len(got) == len(want) and {(r.a, r.b) for r in got} == want
