@@ -5,9 +5,11 @@ from __future__ import annotations
 import atexit
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,11 +37,47 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Seconds between two calls of ``settle`` that do something.
+SETTLE_S = 10
+_settled = [float("-inf")]
+
+
+def settle(spark: SparkSession) -> None:
+    """Hands back to the system what the driver's JVM has no use for: heap behind a collection, then what the
+    C library keeps of freed memory (after many queries some 200 MB, by compiler arenas and threads that are gone).
+
+    Steps of an iteration leave both behind, and neither shrinks by itself. A JVM that cannot trim is left alone.
+    """
+    if time.monotonic() - _settled[0] < SETTLE_S:
+        return
+    jvm, new = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+    jvm.System.gc()
+
+    def array(kind, *values):
+        out = new(kind, len(values))
+        for i, v in enumerate(values):
+            out[i] = v
+        return out
+
+    try:
+        of = jvm.java.lang.Class.forName
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        name = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        kinds = ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")
+        call = of("javax.management.MBeanServer").getMethod("invoke", array(jvm.java.lang.Class, *map(of, kinds)))
+        call.invoke(server, array(jvm.java.lang.Object, name, "systemTrimNativeHeap", None, None))
+    except Py4JError:  # not on Linux, or an older JVM
+        pass
+    _settled[0] = time.monotonic()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df``, computed once and kept in the shared folder, with its lineage cut."""
     shared_dir(df.sparkSession)
     with shuffles_dropped(df.sparkSession):
-        return df.select("*").checkpoint(eager=True)
+        out = df.select("*").checkpoint(eager=True)
+    settle(df.sparkSession)
+    return out
 
 
 _scratch: set[str] = set()
@@ -55,6 +93,7 @@ def written(df: DataFrame, compression: str = "snappy") -> DataFrame:
     _scratch.add(path)
     with shuffles_dropped(spark):
         df.write.parquet(path, compression=compression)
+    settle(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 

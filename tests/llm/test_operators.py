@@ -464,3 +464,22 @@ def test_near_misses_of_a_large_component_are_confirmed_in_blocks(spark):
     want = {(y, x) for y in range(100) for x in range(100, 700, 3) if 100 * len(known[y] & known[x]) >= 80 * len(known[y] | known[x])}
     got = near_dedup._verified_in_blocks(pairs, texts, 1, 80).collect()
     assert want and len(got) == len(want) and {(r.a, r.b) for r in got} == want
+
+
+def test_a_cut_hands_back_the_drivers_memory(spark, monkeypatch):
+    import gc
+
+    from bytestrata.llm import common
+
+    rt = spark.sparkContext._jvm.java.lang.Runtime.getRuntime()
+    used = lambda: rt.totalMemory() - rt.freeMemory()
+    monkeypatch.setattr(common, "_settled", [float("-inf")])
+    left = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.java.lang.Object, 60_000_000)
+    before = used()
+    del left
+    gc.collect()
+    assert common.cut(spark.range(3)).count() == 3
+    assert used() < before - 200e6
+    at = common._settled[0]
+    common.settle(spark)  # just done
+    assert common._settled[0] == at > 0
